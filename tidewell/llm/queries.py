@@ -6,25 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import line_dedup, media, packing
-from tidewell.session import table
+from tidewell.llm import html_extract, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sentencepiece, token_counts
+from tidewell.llm.tokenizers import default_path
+from tidewell.session import new_path, prepare, table
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted under two tokenizer versions, a batch each; the first
+    batch is committed twice, as by a writer that retries."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(prepare(spark), new_path(spark, "token-counts"))
+    for version in ("byte_bpe_50k", "byte_bpe_50k", "byte_bpe_multi_50k"):
+        rollup.commit(f"load-{version}", token_counts.inserted(token_counts.counts(docs, default_path(f"{version}.tiktoken"), version)))
+    return rollup.totals()
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_packing, op5_audio, op8_line_dedup)
+    for f in (op1_sentencepiece, op2_packing, op3_quality_rules, op4_minhash, op5_audio, op6_quality_classifier, op8_line_dedup, op9_token_counts, op10_html)
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -48,3 +80,52 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+#: For each rule its rate and grid, as in ``quality_rules.RULES``.
+_RULE_ROWS = ", ".join(f"('{r}', {x!r})" for r, (_, grid) in quality_rules.RULES.items() for x in grid)
+_RATES = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, coalesce({rule.replace(' / ', '::DOUBLE / nullif(')}, 0), 0) AS rate FROM counted" for r, (rule, _) in quality_rules.RULES.items())
+
+ORACLE_SQL["op3_quality_rules"] = rf"""
+WITH docs AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM docs
+), placed AS (
+  SELECT doc_id, i, words[i : i + 4] AS gram FROM worded, unnest(range(1, greatest(len(words) - 3, 1))) AS r(i)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM placed) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS r(k) GROUP BY doc_id
+), lined AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), counted AS (
+  SELECT d.doc_id, d.lang, len(w.words)::BIGINT AS n_words,
+         length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(l.lines) - len(list_distinct(l.lines)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(d.text, '[^!]', '', 'g')) AS n_exclamations
+  FROM docs d JOIN worded w USING (doc_id) JOIN lined l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), rates AS ({_RATES}), grids(rule, cutoff) AS (VALUES {_RULE_ROWS}
+), tested AS (
+  SELECT x.lang, x.rule, g.cutoff, count(*) AS n, count(*) FILTER (WHERE x.rate > g.cutoff) AS k
+  FROM rates x JOIN grids g USING (rule)
+  WHERE x.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL
+), certified AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM (
+    SELECT *, (SELECT count(DISTINCT lang) FROM tested) * (SELECT count(*) FROM grids) AS m FROM tested WHERE k < n * 0.01
+  ) t WHERE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))
+             FROM unnest(range(0, k + 1)) AS r(i)) <= 0.05 / m
+  GROUP BY lang, rule
+), broken AS (
+  SELECT x.doc_id, string_agg(x.rule, ',' ORDER BY list_position(['symbols', 'capitals', 'exclamations', 'repeats'], x.rule)) AS failed_rules
+  FROM rates x JOIN certified c USING (lang, rule) WHERE x.rate > c.cutoff GROUP BY x.doc_id
+), based AS (
+  SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(b.failed_rules, '') AS failed_rules
+  FROM counted c LEFT JOIN broken b USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND failed_rules = '' AS kept, failed_rules
+FROM based
+"""
