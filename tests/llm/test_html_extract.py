@@ -1,0 +1,107 @@
+import random
+from html.parser import HTMLParser
+
+import numpy as np
+
+from tidewell.llm import html_extract as H
+
+
+def test_article_alone():
+    page = """<html><head><title>no</title><script>var a="</p><article>no</article>";</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/">no</a></ul></nav><div class="cookie-notice">no<div>no</div></div>
+    <article><h1>Title &amp; more</h1><p><b>One<br>two &eacute;&#33; a<i>b</i>c<p>Three
+    lines &lt;tag&gt;<!-- no --><div class="ad">no</div><aside>no</aside><form>no<input></form>
+    <ul><li>x<li>y</ul><section id="comments"><p>no</p></section></article><div id="sidebar">no</div><footer>no</footer></body></html>"""
+    assert H.main_text(H.blocks(page), set()) == "Title & more\n\nOne two é! abc\n\nThree lines <tag>\n\nx\n\ny"
+
+
+def test_odd_pages():
+    text = lambda p: H.main_text(H.blocks(p), set())
+    assert text(None) == text("") == text("<div></div>") == text("<!-- never closed <p>x") == ""
+    assert text("plain &amp text") == "plain & text" and text("a < b <p>c") == "a < b\n\nc"
+    assert text("<article><p>cut in a tag <a href='x") == "cut in a tag"
+    assert text("<main><p>m</p></main><p>outside") == "m"
+    assert text("<article><p>a</article><article class=comment><p>no</article><article><p>b") == "a\n\nb"
+    assert text("<p hidden>no</p><p>yes</p>") == "yes"
+    assert text("<article>" + "<p>x y</p>" * 5000) == "\n\n".join(["x y"] * 5000)
+
+
+def test_common_is_a_longest_common_subsequence(monkeypatch):
+    r = random.Random(0)
+    for small in (1 << 22, 4):
+        monkeypatch.setattr(H, "SMALL", small)
+        for _ in range(150):
+            a, b = (np.array([r.randrange(6) for _ in range(r.randrange(14))], np.uint64) for _ in range(2))
+            got = H.common(a, b)
+            table = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+            assert len(got) == table[-1, -1] and got == sorted(set(got))
+            rest = iter(b.tolist())
+            assert all(any(x == y for y in rest) for x in a[got].tolist())
+
+
+def test_shared_lines_go_outside_articles(spark):
+    rows = []
+    for k in range(40):
+        boiler = "<p>Welcome to our site</p>", "<p>All rights reserved</p>"
+        rows.append((k, f"http://one.example/a/{k // 10}/{k}.html", f"<html><body>{boiler[0]}<p>Unique text {k}</p>{boiler[1]}</body></html>"))
+    rows += [(100, "http://copy.example/x", "<p>same</p><p>page</p>"), (101, "http://copy.example/y", "<p>same</p><p>page</p>"), (102, None, None), (102, None, None), (103, "http://alone.example/", "<p>alone</p>"), (None, "x", "<p>null id")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' as text", "1 as shared", "2 as host").repartition(4)
+    got = {(r.page_id, r.text, r.n_chars) for r in H.extract(pages).collect()}
+    want = {(k, f"Unique text {k}", len(f"Unique text {k}")) for k in range(40)} | {(100, "same\n\npage", 10), (101, "same\n\npage", 10), (102, "", 0), (103, "alone", 5), (None, "null id", 7)}
+    assert got == want and H.extract(pages).count() == len(rows)
+    assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_pairs_do_not_hang_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    from pyspark.sql import functions as F
+
+    own = pages.withColumn("page_hash", F.xxhash64("url", "html"))
+    one = {(r.page_id, bytes(r.shared or b"")) for r in H.shared_by_pairs(own).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {(r.page_id, bytes(r.shared or b"")) for r in H.shared_by_pairs(own).collect()} == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+class Article(HTMLParser):
+    """What the test pages' articles hold, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+        if tag == "br" and self.inside:
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_equals_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    bad = 0
+    for r in pages.collect():
+        p = Article()
+        p.feed(r.html)
+        p.close()
+        want = "\n\n".join(x for x in (" ".join("".join(b).split()) for b in p.blocks) if x)
+        bad += want != got[r.page_id]
+    assert bad == 0

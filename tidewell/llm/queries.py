@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import html_extract, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sentencepiece, token_counts
+from tidewell.llm import html_extract, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
 from tidewell.llm.tokenizers import default_path
 from tidewell.session import new_path, prepare, table
 
@@ -36,6 +36,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_packing, op3_quality_rules, op4_minhash, op5_audio, op6_quality_classifier, op8_line_dedup, op9_token_counts, op10_html)
+    for f in (op1_sentencepiece, op2_packing, op3_quality_rules, op4_minhash, op5_audio, op6_quality_classifier, op7_suffix_array, op8_line_dedup, op9_token_counts, op10_html)
 }
 
 ORACLE_SQL: dict[str, str] = {}
