@@ -1 +1 @@
-"""To come."""
+"""Bag, pair and key-value operators: DataFrame to DataFrame."""

@@ -1,4 +1,5 @@
 """Named queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewell.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-"""To come."""
+"""Sources and sinks: Parquet tables, and the row-log format."""
