@@ -156,3 +156,30 @@ def test_ranks(spark):
     assert rounds == n and {r.id: round(r["rank"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in rank.items()}
     five = graph.rounds(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string"), 5)
     assert five.count() == 5
+
+
+# The links of a nine-page site, and its ranks when no rank changes by 0.01.
+SITE = {
+    "/": ["/", "/ItU5tEu.html", "/LE4.html", "/ND3.html", "/SL7sCi.html", "/UJ2p.html", "/xr6yf.html"],
+    "/CN9CmwX.html": ["/ND3.html"],
+    "/Cv1epgGc.html": ["/CN9CmwX.html", "/ND3.html"],
+    "/ItU5tEu.html": ["/LE4.html", "/SL7sCi.html"],
+    "/LE4.html": ["/LE4.html", "/SL7sCi.html", "/xr6yf.html"],
+    "/ND3.html": ["/UJ2p.html"],
+    "/SL7sCi.html": ["/CN9CmwX.html", "/LE4.html", "/ND3.html", "/SL7sCi.html"],
+    "/UJ2p.html": ["/Cv1epgGc.html"],
+    "/xr6yf.html": [],
+}
+RANKS = {
+    "/": 0.17073170731719883, "/ItU5tEu.html": 0.17073170731719883, "/xr6yf.html": 0.30751177010942815,
+    "/SL7sCi.html": 0.482657792813796, "/LE4.html": 0.482657792813796, "/CN9CmwX.html": 0.890940650951408,
+    "/Cv1epgGc.html": 1.5045544412921787, "/UJ2p.html": 1.5840614770952648, "/ND3.html": 1.6640183069267136,
+}
+
+
+def test_ranks_of_a_site(spark):
+    pages = spark.createDataFrame([(p,) for p in SITE], "id string")
+    edges = spark.createDataFrame([(p, x) for p, to in SITE.items() for x in to], "src string, dst string")
+    got, rounds = graph.converge(pages, edges, 0.01)
+    assert rounds == 14
+    assert all(abs(r["rank"] - RANKS[r.id]) < 1e-12 for r in got.collect())
