@@ -307,7 +307,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     """doc, text_hash, spans (pairs of int64) of the texts with a repeat; ``keyed`` has
     doc_id (not null), text_hash and text. Spans may reach past a text's ends."""
     found = materialise(keyed.select("doc_id", "text_hash", "text").mapInArrow(_emit_anchors, ANCHORS), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1").select(F.col("gram").alias("g"), (F.col("lo") != F.col("hi")).alias("several"))
+    # a table of its own, so that the join has an exchange on both sides and a gram with very many anchors can be split
+    grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1").select(F.col("gram").alias("g"), (F.col("lo") != F.col("hi")).alias("several")), "anchor-grams")
     twice = materialise(found.join(grams, F.col("gram") == F.col("g")).drop("g"), "anchors-twice")
     whole = lambda df: df.select("doc", "text_hash", F.greatest(F.col("place") - LEFT, F.lit(0)).alias("low"), (F.col("place") + LENGTH).alias("high"))
     spans = whole(twice.where("not several"))
@@ -317,11 +318,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     again = contexts.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
     spans = spans.unionByName(whole(several.join(again, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi")))
 
-    wanted = contexts.groupBy(F.col("one.doc").alias("d"), F.col("one.text_hash").alias("t")).agg(F.collect_list(F.struct("one.place", "gram")).alias("wanted"), F.count("*").alias("n"))
-    size = contexts.count() * 32
-    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-    fetched = keyed.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t"))).dropDuplicates(["doc_id", "text_hash"]) if size > BROADCAST_BYTES else keyed.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t")))
-    fetched = fetched.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_fetch, CONTEXTS)
+    wanted = contexts.groupBy(F.col("one.doc").alias("d"), F.col("one.text_hash").alias("t")).agg(F.collect_list(F.struct("one.place", "gram")).alias("wanted"))
+    wanted = F.broadcast(wanted) if contexts.count() * 32 <= BROADCAST_BYTES else wanted
+    fetched = keyed.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "wanted").mapInArrow(_fetch, CONTEXTS)
     hot = contexts.groupBy("gram").count().where(F.col("count") > HOT).select(F.col("gram").alias("g"))
     hot = materialise(hot, "anchor-hot")
     if hot.head(1):
