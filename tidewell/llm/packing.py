@@ -139,7 +139,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], ranks_path: str, window:
         yield flush()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, window: int = 1024, end_id: int = 0, step: int = 16, sentence_cost: float = 1.0, split_cost: float = 4.0, block_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, window: int = 1024, end_id: int = 0, step: int = 8, sentence_cost: float = 1.0, split_cost: float = 4.0, block_tokens: int = 1 << 20) -> DataFrame:
     """Pack whole texts into sequences of at most ``window`` tokens.
 
     One row per piece: ``doc_id``, ``start`` (ids of the document before it),
