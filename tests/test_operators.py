@@ -147,7 +147,7 @@ def test_ranks(spark):
         out.setdefault(s, set()).add(d)
     rank, n = dict.fromkeys(nodes, 1.0), 0
     while True:
-        new = {p: 0.15 + sum(0.85 * rank[s] / len(t) for s, t in out.items() if p in t and s != p) for p in nodes}
+        new = {p: 0.15 + sum(0.85 * rank[s] / len(t) for s, t in out.items() if p in t) for p in nodes}
         n += 1
         change, rank = max(abs(new[p] - rank[p]) for p in nodes), new
         if change < 0.01:

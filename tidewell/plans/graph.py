@@ -16,10 +16,10 @@ DAMPING, REST = 0.85, 0.15
 
 
 def links(edges: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst) without loops, with the share of a rank that each passes on."""
+    """Distinct edges (src, dst), loops included, with the share of a rank that each passes on."""
     clean = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     degree = clean.groupBy(F.col("src").alias("s")).agg((F.lit(DAMPING) / F.count("*")).alias("share"))
-    return clean.where("src <> dst").join(degree, F.col("src") == F.col("s")).select("src", "dst", "share")
+    return clean.join(degree, F.col("src") == F.col("s")).select("src", "dst", "share")
 
 
 def start(pages: DataFrame) -> DataFrame:

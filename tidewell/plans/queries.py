@@ -328,6 +328,18 @@ def frontier_loop(spark, sf):
     return frontier.crawl(web, web.where("url like '%/0.html'"))
 
 
+@query()
+def page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", pages.body_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT {SQL_NORMAL} AS url FROM ({SQL_PARTS}) WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
+def unseen_filter(spark, sf):
+    """Pages that are not among those crawled."""
+    web = table(spark, sf, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
+    return A.anti_join(web, web.where("page_id % 3 = 0"), "page_id").select("url")
+
+
 # --- links and ranks ------------------------------------------------------------------
 
 SQL_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (
@@ -627,6 +639,16 @@ def kv_store(spark, sf):
     return store.changes("second")
 
 
+@query("SELECT name, (SELECT count(DISTINCT user_id) FROM events) AS n FROM (SELECT unnest(['crawl', 'index']) AS name)")
+def kv_list_tables(spark, sf):
+    """Names of tables and their numbers of rows."""
+    store = kv.Store(spark, new_path(spark, "kv"))
+    for name in ("crawl", "index"):
+        store.put(name, _changes(spark, sf))
+    counted = [kv.count_rows(store.changes(name)).select(F.lit(name).alias("name"), "n") for name in store.tables()]
+    return counted[0].union(counted[1])
+
+
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS row_key, n_name AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
 def row_log(spark, sf):
     """Rows written in the row-log format by executors, read again as change rows."""

@@ -11,9 +11,13 @@ ALPHA = 0.4
 RESULTS = 21
 
 
-def terms(docs: DataFrame, window: bool = False) -> DataFrame:
+def terms(docs: DataFrame, window: bool = False, by_doc: bool = True) -> DataFrame:
     """doc_id, word, one row per occurrence of an index word: lower-case letters, 3 to 17
-    of them, no stop word. ``window`` takes the text window only."""
+    of them, no stop word. ``window`` takes the text window only.
+
+    ``by_doc`` deals the texts out by document once; counts by (document, word), maxima
+    and norms by document then need no shuffle of their own."""
+    docs = docs.select("doc_id", "text").repartition("doc_id") if by_doc else docs
     text = T.text_window(F.col("text")) if window else F.col("text")
     split = T.split_words(F.lower(T.letters_only(T.strip_tags(text))))
     words = docs.select("doc_id", F.explode(split).alias("word"))
