@@ -183,3 +183,15 @@ def test_ranks_of_a_site(spark):
     got, rounds = graph.converge(pages, edges, 0.01)
     assert rounds == 14
     assert all(abs(r["rank"] - RANKS[r.id]) < 1e-12 for r in got.collect())
+
+
+def test_spread_and_release(spark):
+    from tidewell import session
+
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    assert session.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.spread(many).rdd.getNumPartitions() == 9 and session.spread(few).count() == 100
+    kept = session.materialise(few, "x")
+    assert kept.count() == 100
+    session.release(spark)
+    assert session._WRITTEN == []

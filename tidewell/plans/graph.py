@@ -26,18 +26,20 @@ def start(pages: DataFrame) -> DataFrame:
     return pages.select("id").distinct().select("id", F.lit(1.0).alias("rank"))
 
 
-def step(ranks: DataFrame, shares: DataFrame) -> DataFrame:
-    """One round: id, rank, previous."""
+def step(nodes: DataFrame, ranks: DataFrame, shares: DataFrame) -> DataFrame:
+    """id, rank of the next round. ``ranks`` occurs once, so that the plan of n rounds
+    grows with n; what does not change from round to round is ``nodes``."""
     passed = shares.join(ranks, shares.src == ranks.id).groupBy(F.col("dst").alias("target")).agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
-    return ranks.join(passed, ranks.id == passed.target, "left").select("id", (F.coalesce("sum", F.lit(0.0)) + REST).alias("rank"), F.col("rank").alias("previous"))
+    return nodes.join(passed, nodes.id == passed.target, "left").select("id", (F.coalesce("sum", F.lit(0.0)) + REST).alias("rank"))
 
 
 def rounds(pages: DataFrame, edges: DataFrame, n: int, state: DataFrame | None = None) -> DataFrame:
     """id, rank after n rounds, from the start or from a saved state (id, rank)."""
     shares = links(edges).repartition("src").persist()
-    ranks = state.select("id", "rank") if state is not None else start(pages)
+    nodes = (pages if state is None else state).select("id").distinct().persist()
+    ranks = state.select("id", "rank") if state is not None else start(nodes)
     for _ in range(n):
-        ranks = step(ranks, shares).select("id", "rank")
+        ranks = step(nodes, ranks, shares)
     return ranks
 
 
@@ -45,13 +47,15 @@ def converge(pages: DataFrame, edges: DataFrame, threshold: float = 0.01, most:
     """Ranks once no rank changes by ``threshold`` or more, and the number of rounds.
     Each round is written to the shared folder: lineage stays one round long."""
     shares = links(edges).repartition("src").persist()
-    ranks, n = start(pages), 0
+    nodes = pages.select("id").distinct().persist()
+    ranks, n = start(nodes), 0
     while n < most:
-        state = materialise(step(ranks, shares), "ranks")
+        before = ranks.select(F.col("id").alias("node"), F.col("rank").alias("previous"))
+        ranks = materialise(step(nodes, ranks, shares), "ranks")
         n += 1
-        change = state.agg(F.max(F.abs(F.col("rank") - F.col("previous")))).first()[0]
-        ranks = state.select("id", "rank")
+        change = ranks.join(before, F.col("id") == F.col("node")).agg(F.max(F.abs(F.col("rank") - F.col("previous")))).first()[0]
         if change is None or change < threshold:
             break
     shares.unpersist()
+    nodes.unpersist()
     return ranks, n

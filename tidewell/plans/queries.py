@@ -12,7 +12,7 @@ from tidewell.functions import text as T
 from tidewell.operators import algebra as A
 from tidewell.operators import kv
 from tidewell.plans import frontier, graph, search
-from tidewell.session import new_path, prepare, table
+from tidewell.session import new_path, prepare, spread, table
 from tidewell.sources import rowlog, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,12 @@ TERMS = rf"""SELECT doc_id, word FROM (
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+
+
+def _doc_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word of a text once: repeats go within the row, before anything is shuffled."""
+    return spread(table(spark, sf, "documents")).select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
 
 
 # --- words ------------------------------------------------------------------------
@@ -64,13 +69,13 @@ def term_count(spark, sf):
 
 @query(f"SELECT word, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS docs FROM (SELECT DISTINCT doc_id, word FROM ({TOKENS})) GROUP BY word")
 def inverted_index(spark, sf):
-    pairs = _tokens(spark, sf).select(F.col("word").alias("key"), F.col("doc_id").cast("string").alias("value")).distinct()
-    return A.fold_by_key(pairs, "concat").select(F.col("key").alias("word"), F.col("value").alias("docs"))
+    pairs = _doc_words(spark, sf).select(F.col("word").alias("key"), F.col("doc_id").cast("string").alias("value"))
+    return A.fold_by_key(pairs, "concat_distinct").select(F.col("key").alias("word"), F.col("value").alias("docs"))
 
 
 @query(f"SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, word FROM ({TOKENS})) GROUP BY word")
 def doc_freq(spark, sf):
-    return _tokens(spark, sf).distinct().groupBy("word").agg(F.count("*").alias("df"))
+    return _doc_words(spark, sf).distinct().groupBy("word").agg(F.count("*").alias("df"))
 
 
 @query(f"SELECT word, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n DESC, doc_id) AS docs FROM (SELECT word, doc_id, count(*) AS n FROM ({TOKENS}) GROUP BY word, doc_id) GROUP BY word")
