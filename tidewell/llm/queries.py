@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import html_extract, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
 from tidewell.llm.tokenizers import default_path
-from tidewell.session import new_path, prepare, table
+from tidewell.session import new_path, prepare, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode(table(spark, sf_dir, "documents"), digest=True)
+    return sentencepiece.encode(documents(spark, sf_dir), digest=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,34 +24,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+    return minhash.near_duplicates(documents(spark, sf_dir), size=3, num=85, den=100)
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.audio(table(spark, sf_dir, "documents"), digest=True)
+    return media.audio(documents(spark, sf_dir), digest=True)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_passages(documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(documents(spark, sf_dir))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document counted under two tokenizer versions, a batch each; the first
     batch is committed twice, as by a writer that retries."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rollup = token_counts.Rollup(prepare(spark), new_path(spark, "token-counts"))
     for version in ("byte_bpe_50k", "byte_bpe_50k", "byte_bpe_multi_50k"):
         rollup.commit(f"load-{version}", token_counts.inserted(token_counts.counts(docs, default_path(f"{version}.tiktoken"), version)))
@@ -55,7 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(spread(table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
