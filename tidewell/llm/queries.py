@@ -137,3 +137,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND failed_rules = '' AS kept, failed_rules
 FROM based
 """
+
+ORACLE_SQL["op4_minhash"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS s
+  FROM docs, unnest(range(1, greatest(len(words) - 1, 2))) AS r(i) WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.other = e.x
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+ORACLE_SQL["op7_suffix_array"] = r"""
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(array_slice(b, i + 1, i + 200)) AS window_md5 FROM raw, unnest(range(0, octet_length(b) - 199)) AS r(i)
+), twice AS (
+  SELECT window_md5 FROM starts GROUP BY window_md5 HAVING count(*) > 1
+), repeated AS (
+  SELECT doc_id, i FROM starts WHERE window_md5 IN (SELECT window_md5 FROM twice)
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM repeated
+), runs AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), spans AS (
+  SELECT doc_id, min(i) AS low, max(i) + 200 AS high FROM runs GROUP BY doc_id, run
+), edges AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL SELECT doc_id, max(high), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT e.doc_id, unhex(string_agg(hex(array_slice(b, e.low + 1, coalesce(e.high, octet_length(b)))), '' ORDER BY e.low)) AS left_over
+  FROM edges e JOIN raw USING (doc_id) GROUP BY e.doc_id
+), removed AS (
+  SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT r.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(coalesce(left_over, b)) AS kept_sha256
+FROM raw r LEFT JOIN removed m USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE_SQL["op10_html"] = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|\z)', 1) AS article FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(article, '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS blocks
+  FROM articles
+), texts AS (SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
