@@ -54,3 +54,30 @@ def test_certified_cutoffs_reject_junk_and_few_good(spark):
     docs, held = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
     out = Q.judge(docs, held).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     assert {r.quality: r.kept for r in out} == {0: 0.0, 1: 1.0}
+
+
+def test_small_strata_are_certified(spark):
+    """600 good labels are enough alone; strata of 300 are tested together; one without labels is left alone."""
+    rows, labels = [], []
+    for lang, good, junk in [("a", 600, 60), ("b", 300, 30), (None, 300, 30), ("none", 0, 30)]:
+        for i in range(good + junk):
+            bad = i >= good
+            rows.append((len(rows), " ".join(f"w{(i * 7 + k * k) % 977}{'###' if bad else ''}" for k in range(30)), lang))
+            if lang != "none":
+                labels.append((rows[-1][0], 0 if bad else 1))
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = Q.judge(docs, held).join(docs.select("doc_id", "lang"), "doc_id").join(held, "doc_id", "left")
+    got = {(r.lang, r.quality): r.kept for r in out.groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    want = {(lang, q): float(q) for lang in ("a", "b", None) for q in (0, 1)}
+    assert got == {**want, ("none", None): 1.0}
+
+
+def test_pool_is_chosen_by_label_counts_and_bounded(spark):
+    def tally(*sizes):
+        return spark.createDataFrame([(str(i), "symbols", 0, n) for i, n in enumerate(sizes)], "stratum string, rule string, step int, n long")
+
+    # levels: 436 good labels for one tested stratum, 505 for two, 545 for three, 574 for four
+    assert Q.tested_alone(tally(2076, 507, 505, 321), 0.01, 0.05) == (2076, 2)
+    assert Q.tested_alone(tally(2076, 574, 574, 321), 0.01, 0.05) == (574, 4)
+    assert Q.tested_alone(tally(600, 600), 0.01, 0.05) == (600, 2)
+    assert Q.tested_alone(tally(200, 200), 0.01, 0.05)[1] == 1 and Q.tested_alone(tally(200, 200), 0.01, 0.05)[0] > 400

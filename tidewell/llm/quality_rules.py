@@ -4,10 +4,16 @@ Counts are taken inside each row with array functions: no text is exploded or
 shuffled. Rules compare a rate with a cutoff. Cutoffs come from labelled holdouts: in a
 stratum, a cutoff that rejects ``k`` of ``n`` documents labelled good is certified if a
 binomial variable with the largest allowed rate of false rejections would be as small
-as ``k`` with probability at most ``delta`` divided by the number of hypotheses
-(strata x rules x grid). So, with probability 1 - delta, no certified cutoff anywhere
-rejects more than that rate of good documents. The strictest certified cutoff of a
-grid is taken; a rule without one rejects nothing.
+as ``k`` with probability at most ``delta`` divided by the number of tested strata x
+rules. The cutoffs of one rule are nested and tested in a fixed order, from loose to
+strict, up to the first that fails, so the steps of a grid share one level. So, with
+probability 1 - delta, no certified cutoff anywhere rejects more than that rate of good
+documents. The strictest certified cutoff is taken; a rule without one rejects nothing.
+
+A stratum with too few good labels to certify a cutoff that rejects none of them cannot
+be tested alone. All such strata are tested together as one; the bound then holds for
+them together, not for each. Which strata these are hangs on the numbers of good labels
+alone, never on what a rule makes of them, so the choice costs no further correction.
 
 Only counts by stratum, rule and step of the grid leave the rows, after partial
 aggregation, so a stratum that holds most rows costs no more than a small one.
@@ -16,8 +22,9 @@ aggregation, so a stratum that holds most rows costs no more than a small one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log, log1p
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import materialise, prepare
@@ -37,6 +44,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "repeats": ("n_repeat_words / n_words", [x / 100 for x in range(5, 101, 5)]),
 }
 MANY_STRATA = 10_000
+NOWHERE = 1 << 62  # more good labels than any stratum has
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -112,21 +120,43 @@ def step_of(value: Column, grid: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: value > g))
 
 
+def tested_alone(tally: DataFrame, rate: float, delta: float) -> tuple[int, int]:
+    """The least number of good labels of a stratum that is tested alone, and how many
+    strata are tested, the pool of all others being one: the most strata for which a
+    cutoff without false rejections would be certified. At most sqrt(2 x labels)
+    different numbers come to the driver."""
+    sizes = tally.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("n").alias("n"))
+    by_size = sorted(((r["n"], r["strata"]) for r in sizes.groupBy("n").agg(F.count("*").alias("strata")).collect()), reverse=True)
+    total, alone, best = sum(m for _, m in by_size), 0, (NOWHERE, 1)
+    for n, m in by_size:
+        alone += m
+        tested = alone + (alone < total)
+        if n * log1p(-rate) <= log(delta / (tested * len(RULES))):
+            best = (n, tested)
+    return best
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, rate: float, delta: float) -> DataFrame:
-    """One row per stratum with a certified cutoff: the stratum and a map from rule to cutoff."""
+    """One row per stratum with a certified cutoff, its own or the pool's: the stratum and a map from rule to cutoff."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).distinct()
     held = measured.join(good, F.col("doc_id") == F.col("__id"))
     steps = [F.struct(F.lit(r).alias("rule"), step_of(value_of(rule), grid).alias("step")) for r, (rule, grid) in RULES.items()]
     tally = held.select(F.col(stratum).alias("stratum"), F.inline(F.array(*steps))).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n"))
     tally = materialise(tally, "quality-tally")  # from here on: at most strata x rules x (steps + 1) rows
-    hypotheses = max(1, tally.select("stratum").distinct().count()) * sum(len(g) for _, g in RULES.values())
-    by_step = tally.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"), F.sum("n").alias("n"))
+    least, tested = tested_alone(tally, rate, delta)
+    alone = F.sum("n").over(Window.partitionBy("stratum", "rule")) >= least
+    sized = tally.withColumn("alone", alone).withColumn("unit", F.when(F.col("alone"), F.col("stratum")))
+    steps = sized.groupBy("alone", "unit", "rule", "step").agg(F.sum("n").alias("n"))
+    by_step = steps.groupBy("alone", "unit", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"), F.sum("n").alias("n"))
     grids = F.create_map(*(x for r, (_, grid) in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, grid)))))
-    tested = by_step.select("stratum", "rule", "n", "by", F.posexplode(F.element_at(grids, F.col("rule"))).alias("at", "cutoff"))
+    each = by_step.select("alone", "unit", "rule", "n", "by", F.posexplode(F.element_at(grids, F.col("rule"))).alias("at", "cutoff"))
     above = F.aggregate(F.map_values(F.map_filter(F.col("by"), lambda s, _: s > F.col("at"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    certified = tested.select("stratum", "rule", "cutoff", "n", above.alias("k")).where(log_binomial_cdf(F.col("k"), F.col("n"), rate) <= F.log(F.lit(delta / hypotheses)))
-    strictest = certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return strictest.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    # k falls from strict to loose, so every cutoff looser than one that passes has passed before it
+    certified = each.select("alone", "unit", "rule", "cutoff", "n", above.alias("k")).where(log_binomial_cdf(F.col("k"), F.col("n"), rate) <= F.log(F.lit(delta / (tested * len(RULES)))))
+    strictest = certified.groupBy("alone", "unit", "rule").agg(F.min("cutoff").alias("cutoff"))
+    found = strictest.groupBy("alone", "unit").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    strata, found = sized.select("stratum", "alone", "unit").distinct().alias("s"), found.alias("f")
+    return strata.join(found, (F.col("s.alone") == F.col("f.alone")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select("stratum", "cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -135,12 +165,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float
     One row per row of ``docs``: doc_id, the five counts, base_failed (fewer than ten
     words, or more than a fifth of the words in repeated windows), kept (false if
     base_failed or if a rule's rate is above its stratum's certified cutoff) and
-    failed_rules. ``rate`` bounds the false rejections of each rule in each stratum,
-    ``delta`` the chance that any bound is broken.
+    failed_rules. ``rate`` bounds the false rejections of each rule in each stratum that
+    has labels enough to be tested alone, and in all the others together; ``delta``
+    bounds the chance that any bound is broken.
 
     A null or empty text has no words and fails. A null stratum is a stratum of its
-    own. Labels that are null or not 1 count for nothing; without labels no rule
-    rejects. Repeated rows get equal rows. Other columns are not read. Windows are
+    own. Labels that are null or not 1 count for nothing; in a stratum without a good
+    label no rule rejects, since nothing was seen of it. Repeated rows get equal rows. Other columns are not read. Windows are
     compared by 64-bit hashes within one text.
     """
     spark = prepare(docs.sparkSession)
