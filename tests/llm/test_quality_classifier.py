@@ -62,3 +62,10 @@ def test_hard_rows(spark, hard, labels):
     blank = C.train(hard, labels.limit(0))
     assert {r.score for r in C.classify(hard, blank).collect()} == {0.5}
     assert C.classify(hard.limit(0), model).count() == 0 == C.keep_good(hard.limit(0), model).count()
+
+
+def test_title_case_share_is_of_all_words():
+    for n in (100, 511, 512, 970, 5000):
+        words = ["Title" if i % 4 == 1 else "plain" for i in range(n)]
+        assert abs(C.statistics(" ".join(words))[-1] - sum(w == "Title" for w in words) / n) < 1e-6
+    assert C.statistics(" \n")[-1] == 0

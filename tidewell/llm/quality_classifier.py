@@ -59,7 +59,7 @@ def statistics(text: str | None) -> np.ndarray:
         np.log1p(len(lines)),
         1 - len(set(lines)) / len(lines),
         np.log1p(n / len(lines)),
-        sum(map(str.istitle, words[:: max(1, n // 256)])) / max(1, len(words[:: max(1, n // 256)])),
+        sum(map(str.istitle, words)) / max(n, 1),
     )
     return out
 
