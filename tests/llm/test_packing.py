@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import hard_rows
 from tidewell.llm import packing as P
-from tidewell.llm.tokenizers import byte_bpe, default_path, encode
+from tidewell.llm import token_counts
+from tidewell.llm.tokenizers import byte_bpe, default_path, encode, encode_added
 
 
 def test_ids_equal_the_tokenizer_file():
@@ -79,3 +80,21 @@ def test_little_padding(spark):
     sizes = [r[0] for r in P.pack(docs).select("sequence_tokens", "sequence_id").distinct().collect()]
     padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes)
     assert padding < 0.01 * sum(sizes)
+
+
+def test_added_tokens_get_the_ids_of_the_file(spark):
+    t = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    own = byte_bpe(default_path("byte_bpe_50k.tiktoken"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "don<|endoftext|>'t  <|endoftext", "é<|endoftext|>日本 ", "no such token"]
+    for x in texts:
+        assert encode_added(own, x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert encode_added(own, "a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(i, x, "web", "en") for i, x in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    pieces = P.pack(docs, window=64).collect()
+    assert sum(r.length for r in pieces) == sum(len(x) + 1 for x in want)
+    for r in pieces:
+        ids = np.array([*want[r.doc_id], 0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    counted = token_counts.counts(docs, default_path("byte_bpe_50k.tiktoken"), "v1").collect()
+    assert {r.doc_id: r.n_tokens for r in counted} == {i: len(x) for i, x in enumerate(want)}

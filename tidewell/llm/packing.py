@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.tokenizers import byte_bpe, default_path, encode, sentence_end_ids
+from tidewell.llm.tokenizers import byte_bpe, default_path, encode_added, sentence_end_ids
 from tidewell.session import prepare
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -129,7 +129,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], ranks_path: str, window:
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = np.append(encode(encoding, text.as_py()), np.uint32(end_id))
+            ids = np.append(encode_added(encoding, text.as_py()), np.uint32(end_id))
             block.append((doc_id.as_py(), ids))
             held += len(ids)
             if held >= block_tokens:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.tokenizers import byte_bpe, encode
+from tidewell.llm.tokenizers import byte_bpe, encode_added
 from tidewell.session import prepare
 
 GROUP = ("source", "lang", "tokenizer")
@@ -31,7 +31,7 @@ SCHEMA = "batch_id string, source string, lang string, tokenizer string, n_docs
 def _count(batches: Iterator[pa.RecordBatch], ranks_path: str, version: str) -> Iterator[pa.RecordBatch]:
     encoding = byte_bpe(ranks_path)
     for batch in batches:
-        n = pa.array([len(encode(encoding, t.as_py())) for t in batch.column("text")], pa.int64())
+        n = pa.array([len(encode_added(encoding, t.as_py())) for t in batch.column("text")], pa.int64())
         chars = pc.fill_null(pc.utf8_length(batch.column("text")), 0).cast(pa.int64())
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array([version] * rows, pa.string()), pa.array([1] * rows, pa.int64()), n, chars], names=["doc_id", *GROUP, *MEASURES])
