@@ -8,20 +8,29 @@ from tidewell.llm.components import components
 
 
 def brute(rows, size, num, den):
-    sets = [(i, set(M.shingles(t, size).tolist())) for i, t in rows]
-    parent = {i: i for i, _ in rows if i is not None}
+    """(doc_id, number of shingles, component) of each row, by comparing all pairs of rows."""
+    sets = [set(M.shingles(t, size).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, (i, s) in enumerate(sets):
-        for j, t in sets[:a]:
-            if i is not None and j is not None and s and t and den * len(s & t) >= num * len(s | t):
-                x, y = sorted((root(i), root(j)))
-                parent[y] = x
-    return {(i, len(s), None if i is None else root(i) if s else i) for i, s in sets}
+    for a, (i, _) in enumerate(rows):
+        for b in range(a):
+            s, t = sets[a], sets[b]
+            if i is not None and rows[b][0] is not None and s and t and den * len(s & t) >= num * len(s | t):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(a)] = min(i, least.get(root(a), i))
+    return sorted(((i, len(s), None if i is None else least[root(a)]) for a, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def told(df):
+    return sorted(((g.doc_id, g.n_shingles, g.component_id) for g in df.collect()), key=str)
 
 
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
@@ -37,13 +46,17 @@ def test_components_equal_all_pairs(spark, hard, size, num):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as kept")
     got = M.near_duplicates(docs, size, num, 100).collect()
     assert len(got) == len(rows)
-    assert {(g.doc_id, g.n_shingles, g.component_id) for g in got} == brute(rows, size, num, 100)
+    assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=str) == brute(rows, size, num, 100)
     assert all(g.kept == (g.doc_id is None or g.doc_id == g.component_id) for g in got)
 
 
-def test_pairs_past_the_pivot_are_found(spark, monkeypatch):
-    """u - v - w is a chain whose ends are no link; blocks of one force many groups."""
-    monkeypatch.setattr(M, "BLOCK", 2)
+@pytest.mark.parametrize(("block", "levels"), [(2, 1), (2, 3), (5, 2), (512, 3)])
+def test_pairs_past_the_pivot_are_found(spark, monkeypatch, block, levels):
+    """A chain whose ends are no link, and texts that share half of their words; small
+    blocks force further pivots, splits by later bands and many groups."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "LEVELS", levels)
+    r = random.Random(block)
     base = [f"w{k}" for k in range(200)]
     rows = []
     for k in range(12):
@@ -51,9 +64,43 @@ def test_pairs_past_the_pivot_are_found(spark, monkeypatch):
         for x in range(4):
             words[(k * 4 + x) * 3 % 200] = f"c{k}{x}"
         rows.append((k, " ".join(words)))
+    for k in range(40):  # boilerplate with own words; some are near copies of others
+        own = [f"q{k // 2}-{x}" for x in range(60)]
+        own[r.randrange(60)] = f"y{k}"
+        rows.append((100 + k, " ".join(base[:140] + own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(g.doc_id, g.n_shingles, g.component_id) for g in M.near_duplicates(docs, 3, 85, 100).collect()}
-    assert got == brute(rows, 3, 85, 100)
+    assert told(M.near_duplicates(docs, 3, 85, 100)) == brute(rows, 3, 85, 100)
+
+
+def shared_ids():
+    a, b = prose(70, 200), prose(71, 200)
+    return [(1, a), (2, a), (2, b), (3, b + " more"), (4, b + " more words"), (4, prose(72, 50)), (5, prose(72, 50)), (7, a + " x"), (7, prose(73, 90)), (None, b), (None, b)]
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    rows = shared_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert told(M.near_duplicates(docs, 3, 85, 100)) == brute(rows, 3, 85, 100)
+    got = {(r.doc_id, r.text) for r in M.keep_one(docs, 3, 85, 100).collect()}
+    assert got == {rows[0], rows[2], rows[5], rows[8], (None, rows[2][1])}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_tables_with_shared_ids(spark, seed):
+    r = random.Random(seed)
+    bases = [prose(200 + k, 60).split() for k in range(4)]
+    rows = []
+    for _ in range(70):
+        words = list(r.choice(bases))
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(60)] = f"z{r.randrange(50)}"
+        rows.append((r.choice([None, *range(12)]), r.choice([None, "", "one", *[" ".join(words)] * 20])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 85, 100)
+    assert told(M.near_duplicates(docs, 3, 85, 100)) == want
+    # the texts that stay: one of each id and component, and what is linked with nothing
+    kept = M.keep_one(docs, 3, 85, 100).collect()
+    assert len(kept) == sum(i is None or i == c for i, _, c in want)
 
 
 def test_keep_one_returns_whole_rows(spark, hard):

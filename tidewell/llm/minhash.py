@@ -1,27 +1,34 @@
 """Near-duplicate documents: MinHash bands, signatures, full sets, components.
 
 1. A map over the scan gives each document the fingerprint of its shingle set and a
-   signature of many universal hash minima. Documents of one set form a class, kept by
-   its least doc_id; copies never meet again until the end.
+   signature of many universal hash minima. Documents of one set form a class, which is
+   numbered; from there on classes are compared, never documents or their ids, so rows
+   that share a doc_id stay apart and copies never meet again until the end.
 2. Signatures are cut into bands; classes that agree on a band share a bucket. Each
-   member of a bucket is compared, on full sets, with the bucket's least member only,
-   so a bucket costs as many comparisons as it has members. Links give components.
-3. Two members of a bucket that are still in different components may be linked past
-   the least member. Such pairs are looked for inside tasks that hold two blocks of a
-   bucket at most: signatures that cannot belong to a link are passed over, and the
-   others are compared on full sets. Pairs are neither written nor shuffled; only
-   links between components leave a task. A pair is looked at in its first common band.
-4. Components over all links, by large-star and small-star.
+   member of a bucket is compared, on full sets, with one pivot only, so a bucket costs
+   as many comparisons as it has members. Links give components.
+3. A bucket of more than ``BLOCK`` members that still has several components meets
+   further pivots, as long as these find links. If it stays mixed, it is split by
+   each later band: a linked pair agrees on many bands, so it meets again in a smaller
+   group, and texts that share one passage part.
+4. Two members of a group that are still in different components may be linked past the
+   pivots. Such pairs are looked for inside tasks: signatures that cannot belong to a
+   link are passed over, the others are compared on full sets. Pairs are neither written
+   nor shuffled; only links between components leave a task. A pair is looked at in its
+   first common bands. A group that ``LEVELS`` bands leave too large for one task is
+   dealt out in blocks, two to a task.
+5. Components over all links, by large-star and small-star.
 
 The chance that a pair at the threshold shares no band is (1 - s^rows)^bands, 5e-8 for
-s = 0.8 and 1e-10 for 0.85. A signature estimate is passed over if it lies more than six
-standard deviations below the threshold.
+s = 0.8 and 1e-10 for 0.85; that it shares one band only, and could be missed in a bucket
+that is split, 1e-6 and 2e-9. A signature estimate is passed over if it lies more than
+six standard deviations below the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,8 @@ from tidewell.session import materialise, prepare
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BLOCK = 1024
+BLOCK = 512
+LEVELS, TURNS = 3, 4  # bands that name a group at most; pivots of a large group at each level
 BROADCAST_BYTES = 64 << 20
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,45 +79,73 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key per band (n x BANDS)."""
+    """A 64-bit key per band (n x BANDS); different bands have different keys."""
     s = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    h = np.zeros(s.shape[:2], np.uint64)
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), (len(s), 1))
     for k in range(ROWS):
         h = (h ^ s[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
+SKETCH = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, signature binary"
+NOT_EMPTY = "doc_id is not null and f1 is not null"
+
+
+def fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+    return int(a), int(b)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "f1", "f2", "signature"]
+    names, kinds = [x.split()[0] for x in SKETCH.split(", ")], [*[pa.int64()] * 3, pa.binary()]
     for batch in batches:
         rows = []
-        for text in batch.column(1):
+        for text in batch.column("text"):
             own = shingles(text.as_py(), size)
-            if len(own):
-                f = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
-                rows.append((len(own), int(f[0]), int(f[1]), signature(own).tobytes()))
-            else:
-                rows.append((0, None, None, None))
+            rows.append((len(own), *fingerprint(own), signature(own).tobytes()) if len(own) else (0, None, None, None))
         cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+
+def signatures_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch["signature"]])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = band_keys(np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("signature")]))
-            rep = np.repeat(batch.column("rep").to_numpy(), BANDS)
+            keys = band_keys(signatures_of(batch))
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
             band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["band", "key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["band", "key", "node"])
+
+
+def _later_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of groups again, in groups that agree on one band more."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            keys, first = band_keys(signatures_of(part)), part.column("band").to_numpy()
+            old = part.column("key").to_numpy().view(np.uint64)
+            row, band = np.nonzero(np.arange(BANDS) > first[:, None])
+            key = (old[row] ^ (old[row] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + keys[row, band]
+            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(part.column("node").to_numpy()[row])], names=["band", "key", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The sets of those texts that have the fingerprint asked for: an id may name several."""
     for batch in batches:
-        sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+        nodes, sets = [], []
+        for text, node, f1, f2 in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("node", "f1", "f2")), strict=True):
+            own = shingles(text.as_py(), size)
+            if len(own) and fingerprint(own) == (f1, f2):
+                nodes.append(node)
+                sets.append(own.view(np.int64))
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["rep", "own"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["node", "own"])
 
 
 # --- pairs inside a task ------------------------------------------------------------
@@ -135,17 +171,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-GROUP = ("band", "key", "left", "right")
+GROUP = ("key", "left", "right")
 
 
 def open_pairs(group: pa.Table, least: float) -> Iterator[tuple[int, int]]:
     """Rows of a group that may be linked across components: of the group's two blocks,
-    in their first common band, with signatures that agree enough."""
+    in their first common bands, with signatures that agree enough."""
     comp, block = group["component"].to_numpy(), group["block"].to_numpy()
     if (comp == comp[0]).all():
         return
-    band, left, right = group["band"][0].as_py(), group["left"][0].as_py(), group["right"][0].as_py()
-    sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in group["signature"]])
+    band, level, left, right = (group[c][0].as_py() for c in ("band", "level", "left", "right"))
+    sig = signatures_of(group)
     keys = band_keys(sig)[:, :band]
     rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
     for i in rows.tolist():
@@ -154,17 +190,20 @@ def open_pairs(group: pa.Table, least: float) -> Iterator[tuple[int, int]]:
         if len(other):
             close = (sig[other] == sig[i]).sum(axis=1) >= least
             other = other[close]
-            other = other[~(keys[other] == keys[i]).any(axis=1)]
+            other = other[(keys[other] == keys[i]).sum(axis=1) <= level]
             for j in other.tolist():
                 yield i, j
 
 
+DEALT = "key long, left int, right int, band int, level int, block int, node long, component long, signature binary"
+
+
 def _needed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Members of a group that have a pair to be looked at."""
     for group in _groups(batches, GROUP):
         own = sorted({x for pair in open_pairs(group, least) for x in pair})
         if own:
-            out = group.select([*GROUP, "block", "rep", "component", "signature"]).take(pa.array(own))
+            out = group.select([x.split()[0] for x in DEALT.split(", ")]).take(pa.array(own))
             yield from out.combine_chunks().to_batches()
 
 
@@ -210,6 +249,23 @@ def join_ids(big: DataFrame, ids: DataFrame, on: Column, how: str) -> DataFrame:
     return big.join(F.broadcast(ids) if small_enough(ids, 64) else ids, on, how)
 
 
+def verdicts(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for every row."""
+    prepare(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = materialise(own.mapInArrow(partial(_sketch, size=size), SKETCH), "minhash")
+    one = rows.where(NOT_EMPTY).groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
+    # numbers are unique in one job and fixed by writing them
+    classes = materialise(one.select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.signature", F.monotonically_increasing_id().alias("node")), "minhash-classes")
+    groups = materialise(components(links(own, classes, size, num, den)), "minhash-components")
+    linked = groups.join(classes.select("node", "rep"), "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "node", "rep").join(linked.join(least, "component").select("node", "component_id"), "node", "left")
+    out = rows.drop("signature").join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -219,58 +275,91 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     empty one has none and is linked with nothing.
 
     Rows with a null doc_id are linked with nothing, have a null component_id and are
-    kept. Rows that share a doc_id are texts of their own. Other columns are not read.
-    An empty table gives no rows. Shingles are compared by 64-bit hashes.
+    kept. Rows that share a doc_id are texts of their own: each has the component of its
+    own text. Other columns are not read. An empty table gives no rows. Shingles are
+    compared by 64-bit hashes.
     """
-    prepare(docs.sparkSession)
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_sketch, size=size), "doc_id long, n_shingles long, f1 long, f2 long, signature binary"), "minhash")
-    classes = materialise(
-        rows.where("doc_id is not null and f1 is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "signature")).alias("x")).select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.signature"),
-        "minhash-classes",
-    )
-    found = links(docs, classes, size, num, den)
-    groups = components(found)
-    labels = classes.select("f1", "f2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(labels, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return verdicts(docs, size, num, den).drop("text_hash")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose full sets make a link."""
+    left, right = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
+    sized = pairs.join(left, "u").join(right, "v").select("u", "v", F.size("a").cast("long").alias("n"), F.size("b").cast("long").alias("m"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
+    return sized.where(den * F.col("both") >= num * (F.col("n") + F.col("m") - F.col("both"))).select("u", "v")
+
+
+def _buckets(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (band, key, node) of keys that occur twice or more, with their number."""
+    twice = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"), f"{name}-keys")
+    return materialise(join_ids(rows, twice, F.col("key") == F.col("k"), "inner").select("band", "key", "n", "node"), name)
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes, enough of them that components are exact."""
-    signatures = classes.select("rep", "signature")
-    bands = signatures.mapInArrow(_bands, "band int, key long, rep long")
-    buckets = materialise(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").withColumnsRenamed({"band": "b", "key": "k"}), "minhash-buckets")
-    same = (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))
-    members = materialise(join_ids(bands, buckets, same, "inner").select("band", "key", "n", "pivot", "rep"), "minhash-members")
-
-    # full sets of the documents that share a bucket
-    wanted = materialise(members.select(F.col("rep").alias("id")).distinct(), "minhash-wanted")
-    sets = materialise(join_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(partial(_sets, size=size), "rep long, own array<long>").dropDuplicates(["rep"]), "minhash-sets")
-
-    pairs = members.where("rep <> pivot").select("rep", "pivot").distinct()
-    pivots = sets.select(F.col("rep").alias("p"), F.col("own").alias("theirs"))
-    compared = pairs.join(sets, "rep").join(pivots, F.col("pivot") == F.col("p")).select("rep", "pivot", F.size("own").cast("long").alias("n"), F.size("theirs").cast("long").alias("m"), F.size(F.array_intersect("own", "theirs")).cast("long").alias("both"))
-    star = materialise(compared.where(den * F.col("both") >= num * (F.col("n") + F.col("m") - F.col("both"))).select(F.col("rep").alias("u"), F.col("pivot").alias("v")), "minhash-links")
-    groups = materialise(components(star), "minhash-groups")
-
-    # what the comparisons with the least member leave open
-    placed = members.join(groups, F.col("rep") == F.col("node"), "left").select("band", "key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = materialise(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("band").alias("b"), F.col("key").alias("k")), "minhash-mixed")
+    signatures = classes.select("node", "signature")
+    members = _buckets(signatures.mapInArrow(_bands, "band int, key long, node long"), "minhash-members")
+
+    # full sets of the classes that share a bucket
+    wanted = materialise(members.select(F.col("node").alias("w")).distinct().join(classes, F.col("node") == F.col("w")).select("node", "rep", "f1", "f2"), "minhash-wanted")
+    texts = join_ids(docs.select("doc_id", "text"), wanted, F.col("doc_id") == F.col("rep"), "inner").select("text", "node", "f1", "f2")
+    sets = materialise(texts.mapInArrow(partial(_sets, size=size), "node long, own array<long>").dropDuplicates(["node"]), "minhash-sets")
+
+    def placed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+        """Rows with their component; from groups of several components only."""
+        if groups is None:
+            return rows.withColumn("component", F.col("node"))
+        own = rows.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").withColumn("component", F.coalesce("component", "node")).drop("g")
+        mixed = materialise(own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("key").alias("k")), "minhash-mixed")
+        return materialise(join_ids(own, mixed, F.col("key") == F.col("k"), "left_semi"), "minhash-open")
+
+    def to_pivots(rows: DataFrame, turn: int) -> DataFrame:
+        """Links of a group's members with its pivot, another one each turn."""
+        first = F.struct(F.min("node").alias("node"), F.min("node").alias("component"))  # at first each is its own component
+        pivot = rows.groupBy(F.col("key").alias("k")).agg((F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))) if turn else first).alias("p"))
+        pairs = rows.join(pivot, (F.col("key") == F.col("k")) & (F.col("component") != F.col("p.component"))).select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct()
+        return materialise(confirmed(pairs, sets, num, den), "minhash-links")
+
+    found = to_pivots(placed(members, None), 0)
+    groups = materialise(components(found), "minhash-groups")
+    rows, settled = members, []
+    for level in range(LEVELS):
+        rows = placed(rows, groups)
+        for turn in range(1, TURNS):
+            large = rows.where(F.col("n") > BLOCK)
+            if not large.head(1):
+                break
+            new = to_pivots(large, turn)
+            if not new.head(1):
+                break
+            found = found.unionByName(new)
+            groups = materialise(components(found), "minhash-groups")
+            rows = placed(rows.drop("component"), groups)
+        last = level == LEVELS - 1
+        settled.append((rows if last else rows.where(F.col("n") <= BLOCK)).withColumn("level", F.lit(level)))
+        large = rows.where(F.col("n") > BLOCK)
+        if last or not large.head(1):
+            break
+        rows = _buckets(large.select("band", "key", "node").join(signatures, "node").mapInArrow(_later_bands, "band int, key long, node long"), "minhash-members")
+
+    # what the comparisons with pivots leave open
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    still = join_ids(placed, mixed, same, "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("rep"), "blocks"))
-    dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "component")
+    still = reduce(DataFrame.unionByName, settled).withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band", "level", "block", "node", "component")
     floor = HASHES * (num / den - 6 * (num / den * (1 - num / den) / HASHES) ** 0.5)
-    order = [*GROUP, "block", "rep"]
-    needed = materialise(dealt.join(signatures, "rep").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_needed, least=floor), "band int, key long, left int, right int, block int, rep long, component long, signature binary"), "minhash-needed")
-    more = needed.join(sets, "rep").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_links, least=floor, num=num, den=den), "u long, v long")
-    return star.unionByName(more)
+    order = [*GROUP, "block", "node"]
+    needed = materialise(dealt.join(signatures, "node").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_needed, least=floor), DEALT), "minhash-needed")
+    more = needed.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_links, least=floor, num=num, den=den), "u long, v long")
+    return found.unionByName(more)
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, all columns, without those of documents that are near
-    copies of one with a smaller doc_id."""
-    gone = materialise(near_duplicates(docs, size, num, den).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "minhash-gone")
-    return join_ids(docs, gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-
+    """The rows of ``docs``, all columns, without those whose text is a near copy of a
+    text with a smaller doc_id.
 
+    A row goes by its own text: another text under the same doc_id does not take it
+    along. Repeated rows stay or go together. Null texts, empty ones and rows with a null
+    doc_id stay. Extra columns of any name pass through. An empty table gives an empty one.
+    """
+    gone = materialise(verdicts(docs, size, num, den).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct(), "minhash-gone")
+    return join_ids(docs, gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_hash")), "left_anti")
