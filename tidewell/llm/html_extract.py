@@ -1,19 +1,21 @@
-"""Main text of web pages: markup, and differencing against the page with the nearest URL.
+"""Main text of web pages: differencing against the pages with the nearest URLs, and markup.
 
 1. A page becomes blocks of text. Each block has a level: 2 inside an ``article``, 1
    inside ``main``, else 0. Subtrees that say what they are (menus, headers, footers,
    sidebars, forms, scripts, notices, adverts, reader comments) yield no blocks.
-2. Pages are sorted by host and URL path. Each is paired with its neighbour in that
-   order whose path shares more leading segments; their blocks are aligned by
-   longest common subsequence, and blocks that both have are marked as shared.
-3. The text is the blocks of the highest level on the page. Below level 2, shared
-   blocks are deleted, save on a page that is wholly shared. Inside an article nothing
-   is deleted: two pages can print one article, and deleting what copies share would
-   delete their text. That is where differencing alone gives wrong results.
-
-Only hashes of blocks are sorted and compared. Sorting is by range, so a host with a
-third of all pages spreads over many tasks; neighbours on both sides of a border
-between tasks are matched in a second step that sees two rows a task.
+2. Pages are sorted by host and URL path, and each is paired with its nearest URLs, the
+   one before and the one after it. Page sequences that a host repeats word for word
+   stand there once, so a run of copies does not hide the next different page. The blocks
+   of a pair are aligned by longest common subsequence; what both have is shared. Pages
+   that share four fifths of their words are copies of one text: they mark nothing.
+3. Text of the highest level stands; below ``article``, shared blocks are deleted, and
+   outside ``main`` also blocks that are links alone or notes of rights. What stands in ``main`` before its
+   article, such as a title, stands too unless it is shared. Inside an article nothing is
+   deleted: articles quote lines that their neighbours have, and those are main text.
+
+Only hashes and lengths of blocks are sorted and compared. Sorting is by range, so a host
+with a third of all pages spreads over many tasks; the two rows at each border between
+tasks are paired in a second step, one border to a group.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import materialise, prepare
@@ -37,6 +39,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form template menu dialog button select option svg canvas video audio object head datalist".split())
+FIELDS = frozenset("button select option input label svg".split())  # dropped within a line of text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NESTED = frozenset("html body article main section div header ul ol dl table thead tbody tfoot tr td th figure blockquote details fieldset center".split()) | DROPPED
 #: Words in class, id or role by which a subtree says that it is not main text.
@@ -44,42 +47,60 @@ NOT_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond replies pagination pager search widget toolbar complementary contentinfo".split()
 )
 OUTER_ONLY = frozenset(["header", "masthead", "topbar"])
+#: Words that may go with these in one name, as in ``comment-list`` or ``ad_box_2``.
+BESIDE = frozenset("area author bar bars block body bottom box button buttons container content div drawer fixed form global group header icon icons inner item items label left link links list main my outer page panel post posts primary reader right row section site slot secondary sticky stories text thread title top unit user widget widgets wrap wrapper".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+NEVER = frozenset(["html", "body", "main"])
 WORD = re.compile(r"[a-z0-9]+")
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)  # how a footer begins
 
 
-def unwanted(attributes: str, inside: bool) -> bool:
-    """Whether a start tag's attributes mark a subtree that is not main text."""
+def says(name: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role is made of the words (and of what may go with them) alone:
+    ``no-sidebar`` and ``search-algorithms`` are not."""
+    parts = [x for x in WORD.findall(name) if not x.isdigit()]
+    return any(x in words for x in parts) and all(x in words or x in NOT_TEXT or x in BESIDE for x in parts)
+
+
+def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a start tag's attributes mark a subtree that is not main text. The names
+    of a page's frame say nothing of the kind, nor do an article's but for comments."""
+    names = COMMENTS if tag == "article" else NOT_TEXT if inside else NOT_TEXT | OUTER_ONLY
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
             return True
         if name in ("class", "id", "role"):
-            words = set(WORD.findall(html.unescape(value).lower()))
-            if words & NOT_TEXT or not inside and words & OUTER_ONLY:
+            if tag not in NEVER and any(says(x, names) for x in html.unescape(value).strip("\"'").lower().split()):
                 return True
         elif name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(level, text) of each block that is not empty, in page order. A null page has none."""
+def blocks(page: str | None) -> list[tuple[int, str, bool]]:
+    """(level, text, whether all of it is links) of each block that is not empty, in page
+    order. A null page has none."""
     page = page or ""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, level
+    stack: list[tuple[str, bool, int, bool]] = []  # name, dropped, level, part of a line
     dropped, level, at = False, 0, 0
+    link, plain = False, False  # inside a link; the block has text outside links
 
     def close() -> None:
+        nonlocal plain
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((level, text))
+                out.append((level, text, not plain))
             parts.clear()
+        plain = False
 
     def pop_to(k: int) -> None:
         nonlocal dropped, level
-        close()
+        if not all(x[3] for x in stack[k:]):
+            close()
         del stack[k:]
         dropped, level = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
@@ -88,6 +109,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         begin, end = token.span() if token else (len(page), len(page))
         if begin > at and not dropped:
             parts.append(page[at:begin])
+            plain = plain or not link and not parts[-1].isspace()
         if not token:
             break
         at = end
@@ -96,8 +118,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if not named:
             continue
         name = named[1].lower()
+        in_line = name in INLINE or name in FIELDS
+        if name == "a":
+            link = tag[1] != "/"
         if tag[1] == "/":
-            if name not in INLINE:
+            if not in_line:
                 close()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -107,7 +132,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name == "br":
             parts.append(" ")
             continue
-        if name not in INLINE:
+        if not in_line:
             close()
             if stack and stack[-1][0] == "p":
                 pop_to(len(stack) - 1)
@@ -118,29 +143,41 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         rest = tag[named.end() :]
-        off = name in DROPPED or name == "header" and level < 1 or "=" in rest and unwanted(rest, level > 0) or "hidden" in rest and unwanted(rest, level > 0)
+        off = name in DROPPED or name == "header" and level < 1 or ("=" in rest or "hidden" in rest) and unwanted(name, rest, level > 0)
         if off or name in NESTED:
-            close()
+            if not in_line:
+                close()
             deeper = 2 if name == "article" else 1 if name == "main" or "role" in rest and re.search(r"""role\s*=\s*["']?main\b""", rest, re.I) else 0
             dropped, level = dropped or bool(off), max(level, deeper)
-            stack.append((name, dropped, level))
+            stack.append((name, dropped, level, in_line))
     close()
     return out
 
 
-def main_text(found: list[tuple[int, str]], shared: set[int]) -> str:
-    """The text from blocks and the numbers of those that the paired page has too."""
-    if not found:
-        return ""
-    top = max(k for k, _ in found)
-    own = [i for i, (k, _) in enumerate(found) if k == top]
-    kept = [i for i in own if i not in shared] if top < 2 else own
-    return "\n\n".join(found[i][1] for i in kept or own)
+def undecided(found: list[tuple[int, str, bool]]) -> list[int]:
+    """Numbers of the blocks that stand unless they are shared: those of the highest level
+    below ``article``, outside ``main`` without links alone and notes of rights; and
+    those of ``main`` before its article."""
+    levels = [k for k, _, _ in found]
+    top = max(levels, default=0)
+    if top == 2:
+        return [i for i in range(levels.index(2)) if levels[i] == 1]
+    own = [i for i, k in enumerate(levels) if k == top]
+    return own if top else [i for i in own if not found[i][2] and not RIGHTS.match(found[i][1])] or own
+
+
+def main_text(found: list[tuple[int, str, bool]], shared: set[int]) -> str:
+    """The text from blocks and the numbers of those that paired pages have too."""
+    certain = [i for i, (k, _, _) in enumerate(found) if k == 2]
+    open_ = undecided(found)
+    kept = [i for i in open_ if i not in shared]
+    return "\n\n".join(found[i][1] for i in (kept + certain if certain else kept or open_))
 
 
 # --- alignment --------------------------------------------------------------------
 
 SMALL = 1 << 22
+BROADCAST_BYTES = 64 << 20
 
 
 def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,109 +236,112 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1] or "").lower(), (m[2] or "/") + (m[3] or "")
 
 
-LIGHT = "host string, path string, page_id long, page_hash long, hashes binary"
-PAIRED = "edge boolean, first boolean, host string, path string, page_id long, page_hash long, hashes binary, other_path string, other binary, shared binary"
+COPY = 0.8  # share of words from which on two pages are one text
+LIGHT = "page_id long, page_hash long, host string, path string, matters boolean, content long, hashes binary, sizes binary"
+PAIRED = "pid int, kind int, host string, content long, hashes binary, sizes binary, shared binary"
+MARKED = "host string, content long, shared binary"
+INNER, FIRST, LAST = 0, 1, 2  # kinds of rows: results, a partition's first row, its last row
+
+
+def _schema(names: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))])
 
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            hosts, paths = zip(*(host_and_path(u) for u in batch.column("url").to_pylist()), strict=True)
-            hashes = [b"".join(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")) for _, t in blocks(h.as_py())) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), batch.column("page_id"), batch.column("page_hash"), pa.array(hashes, pa.binary())], names=["host", "path", "page_id", "page_hash", "hashes"])
+        out = []
+        for page_id, page_hash, url, page in zip(*(batch.column(c) for c in ("page_id", "page_hash", "url", "html")), strict=True):
+            host, path = host_and_path(url.as_py())
+            found = blocks(page.as_py())
+            hashes = b"".join(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")) for _, t, _ in found)
+            sizes = np.array([t.count(" ") + 1 for _, t, _ in found], np.uint32).tobytes()
+            content = int.from_bytes(xxhash.xxh3_64_digest(hashes), "little", signed=True)
+            out.append({"page_id": page_id.as_py(), "page_hash": page_hash.as_py(), "host": host, "path": path, "matters": bool(undecided(found)), "content": content, "hashes": hashes, "sizes": sizes})
+        yield pa.RecordBatch.from_pylist(out, schema=_schema(LIGHT))
 
 
-def nearness(a: str, b: str) -> int:
-    """Leading path segments that two paths share."""
-    n = 0
-    for x, y in zip(a.split("/"), b.split("/"), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def shared_blocks(own: dict, other: dict) -> np.ndarray:
+    """Numbers of the blocks of a page that another has too; copies share none."""
+    sizes = np.frombuffer(own["sizes"], np.uint32)
+    found = np.array(common(np.frombuffer(own["hashes"], np.uint64), np.frombuffer(other["hashes"], np.uint64)), np.int32)
+    return found if sizes[found].sum() < COPY * sizes.sum() else found[:0]
 
 
-def shared_blocks(own: bytes, other: bytes) -> bytes:
-    """Numbers (int32) of the blocks of a page that its pair has too; a copy shares nothing."""
-    if own == other:
-        return b""
-    return np.array(common(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)), np.int32).tobytes()
+def _pair(a: dict, b: dict, marks: dict[int, list[np.ndarray]]) -> None:
+    if a["host"] == b["host"]:
+        for own, other in ((a, b), (b, a)):
+            marks.setdefault(own["content"], []).append(shared_blocks(own, other))
 
 
-def nearer(path: str, before: tuple[str, bytes] | None, after: tuple[str, bytes] | None) -> tuple[str, bytes] | None:
-    """Of the neighbours (path, hashes), the nearer; the one before on a tie."""
-    if before is None or after is None:
-        return before or after
-    return after if nearness(path, after[0]) > nearness(path, before[0]) else before
+def _marked(row: dict, marks: dict[int, list[np.ndarray]]) -> dict:
+    found = marks.pop(row["content"], [])
+    return {"host": row["host"], "content": row["content"], "shared": np.unique(np.concatenate(found)).astype(np.int32).tobytes() if found else b""}
 
 
 def _pair_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours within a partition. Its first and last row wait for the next step."""
-    names = [x.split()[0] for x in PAIRED.split(", ")]
-
-    def row(now: dict, before: dict | None, after: dict | None, edge: bool, first: bool) -> dict:
-        close = [x and (x["path"], x["hashes"]) if x and x["host"] == now["host"] else None for x in (before, after)]
-        found = nearer(now["path"], *close)
-        shared = None if edge else shared_blocks(now["hashes"], found[1]) if found else b""
-        return {"edge": edge, "first": first} | now | {"hashes": now["hashes"] if edge else None, "other_path": found[0] if edge and found else None, "other": found[1] if edge and found else None, "shared": shared}
+    """Neighbours within a partition; its first and last row go on to the borders, too."""
+    from pyspark import TaskContext
 
+    pid = TaskContext.get().partitionId()
+    row = lambda kind, x, **more: {"pid": pid, "kind": kind, "host": x["host"], "content": x["content"], "hashes": None, "sizes": None, "shared": None} | more
+    edge = lambda kind, x: row(kind, x, hashes=x["hashes"], sizes=x["sizes"])
     out: list[dict] = []
-    before = now = None
-    seen = 0
+    marks: dict[int, list[np.ndarray]] = {}
+    before = None
     for batch in batches:
-        for after in batch.to_pylist():
-            if now is not None:
-                out.append(row(now, before, after, seen == 1, seen == 1))
-            before, now, seen = now, after, seen + 1
+        for now in batch.to_pylist():
+            if before is None:
+                out.append(edge(FIRST, now))
+            else:
+                _pair(before, now, marks)
+                if told := _marked(before, marks)["shared"]:
+                    out.append(row(INNER, before, shared=told))
+            before = now
             if len(out) >= 2000:
-                yield pa.RecordBatch.from_pylist(out, schema=PAIRED_ARROW).select(names)
+                yield pa.RecordBatch.from_pylist(out, schema=_schema(PAIRED))
                 out = []
-    if now is not None:
-        out.append(row(now, before, None, True, seen == 1))
-        yield pa.RecordBatch.from_pylist(out, schema=PAIRED_ARROW).select(names)
-
-
-PAIRED_ARROW = pa.schema([("edge", pa.bool_()), ("first", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("page_hash", pa.int64()), ("hashes", pa.binary()), ("other_path", pa.string()), ("other", pa.binary()), ("shared", pa.binary())])
-
-
-def _pair_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edge rows in order: the neighbour across a border against the one within."""
+    if before is not None:
+        if told := _marked(before, marks)["shared"]:
+            out.append(row(INNER, before, shared=told))
+        out.append(edge(LAST, before))
+    yield pa.RecordBatch.from_pylist(out, schema=_schema(PAIRED))
 
-    def settle(now: dict, before: dict | None, after: dict | None) -> dict:
-        inner = (now["other_path"], now["other"]) if now["other"] is not None else None
-        outer_before = (before["path"], before["hashes"]) if before and before["host"] == now["host"] else None
-        outer_after = (after["path"], after["hashes"]) if after and after["host"] == now["host"] else None
-        # a first row has its inner neighbour after it, a last row before it; a row that is alone has none
-        found = nearer(now["path"], outer_before, inner or outer_after) if now["first"] else nearer(now["path"], inner or outer_before, outer_after)
-        return {"page_id": now["page_id"], "page_hash": now["page_hash"], "shared": shared_blocks(now["hashes"], found[1]) if found else b""}
 
-    schema = pa.schema([("page_id", pa.int64()), ("page_hash", pa.int64()), ("shared", pa.binary())])
-    before = now = None
+def _pair_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by border, the one before it first; a border at an end has one row."""
+    before = None
     for batch in batches:
         out = []
-        for after in batch.to_pylist():
-            if now is not None:
-                out.append(settle(now, before, after))
-            before, now = now, after
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-    if now is not None:
-        yield pa.RecordBatch.from_pylist([settle(now, before, None)], schema=schema)
-
-
-def shared_by_pairs(pages: DataFrame) -> DataFrame:
-    """page_id, page_hash, shared (int32 numbers of blocks) for each page."""
-    light = pages.mapInArrow(_light, LIGHT)
-    order = ["host", "path", "page_id", "page_hash"]
-    paired = materialise(light.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pair_sorted, PAIRED), "page-pairs")
-    edges = paired.where("edge").select(*order, "first", "hashes", "other_path", "other").repartition(1).sortWithinPartitions(*order, F.desc("first"))
-    settled = edges.mapInArrow(_pair_edges, "page_id long, page_hash long, shared binary")
-    return paired.where("not edge").select("page_id", "page_hash", "shared").unionByName(settled)
+        for now in batch.to_pylist():
+            if before is not None and before["border"] == now["border"]:
+                marks: dict[int, list[np.ndarray]] = {}
+                _pair(before, now, marks)
+                out += [told for x in (before, now) if (told := _marked(x, marks))["shared"]]
+            before = now
+        yield pa.RecordBatch.from_pylist(out, schema=_schema(MARKED))
+
+
+def shared_by_pairs(light: DataFrame) -> DataFrame:
+    """host, content, shared (int32 numbers of blocks): marks by pairs of different pages."""
+    one = light.groupBy("host", "content").agg(F.min(F.struct("path", "page_id", "page_hash", "hashes", "sizes")).alias("x"))
+    order = ["host", "path", "page_id", "page_hash", "content"]
+    dealt = one.select("host", "content", "x.*").repartitionByRange(*order).sortWithinPartitions(*order)
+    paired = materialise(dealt.mapInArrow(_pair_sorted, PAIRED), "page-pairs")
+    edges = paired.where(F.col("kind") != INNER)
+    # borders by number: a row a partition, and partitions may be empty
+    numbers = edges.select(F.col("pid").alias("p")).distinct().withColumn("number", F.row_number().over(Window.orderBy("p")))
+    borders = edges.join(F.broadcast(numbers), F.col("pid") == F.col("p")).withColumn("border", F.when(F.col("kind") == FIRST, F.col("number") - 1).otherwise(F.col("number")))
+    settled = borders.select("border", "kind", "host", "content", "hashes", "sizes").repartition("border").sortWithinPartitions("border", F.desc("kind"))
+    return paired.where(F.col("kind") == INNER).select("host", "content", "shared").unionByName(settled.mapInArrow(_pair_borders, MARKED))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(blocks(h.as_py()), set(np.frombuffer(s.as_py() or b"", np.int32).tolist())) for h, s in zip(batch.column("html"), batch.column("shared"), strict=True)]
+        texts = []
+        for page, shared in zip(batch.column("html"), batch.column("shared"), strict=True):
+            marks = np.frombuffer(b"".join(shared.as_py() or ()), np.int32)
+            texts.append(main_text(blocks(page.as_py()), set(marks.tolist())))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -309,12 +349,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by two line feeds), n_chars for every page.
 
     A null or empty html has the text ``''``; a null URL has an empty host and the path
-    ``/``. Pages without a neighbour of their host, and copies of their neighbour, share
-    no blocks. Repeated rows get equal rows. Other columns are not read. An empty table
-    gives no rows. A tag or raw text that a cut page leaves open ends with the page.
+    ``/``. Pages without a neighbour of their host share no blocks. Repeated rows, and
+    pages of a host with the same blocks, get equal texts. Other columns are not read. An
+    empty table gives no rows. A tag or raw text that a cut page leaves open ends with the
+    page.
+
+    Each page is parsed twice: for the hashes, and for the text. Marks go back to the
+    pages that have a block to be decided, by broadcast within ``BROADCAST_BYTES``; only
+    beyond it is html shuffled.
     """
     prepare(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("page_hash", F.xxhash64("url", "html"))
-    shared = shared_by_pairs(own).where("length(shared) > 0").dropDuplicates(["page_id", "page_hash"])
-    joined = own.join(shared.withColumnsRenamed({"page_id": "__id", "page_hash": "__hash"}), (F.col("page_hash") == F.col("__hash")) & F.col("page_id").eqNullSafe(F.col("__id")), "left")
+    light = materialise(own.mapInArrow(_light, LIGHT), "page-blocks")
+    marks = shared_by_pairs(light).withColumnsRenamed({"host": "h", "content": "c"})
+    decided = light.where("matters").select("page_id", "page_hash", "host", "content").distinct().join(marks, (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")))
+    shared = materialise(decided.groupBy(F.col("page_id").alias("__id"), F.col("page_hash").alias("__hash")).agg(F.collect_list("shared").alias("shared")), "page-marks")
+    size = shared.agg(F.sum(64 + F.aggregate("shared", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    shared = F.broadcast(shared) if size <= BROADCAST_BYTES else shared
+    joined = own.join(shared, (F.col("page_hash") == F.col("__hash")) & F.col("page_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("page_id", "url", "html", "shared").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
