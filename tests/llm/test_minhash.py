@@ -50,7 +50,7 @@ def test_components_equal_all_pairs(spark, hard, size, num):
     assert all(g.kept == (g.doc_id is None or g.doc_id == g.component_id) for g in got)
 
 
-@pytest.mark.parametrize(("block", "levels"), [(2, 1), (2, 3), (5, 2), (512, 3)])
+@pytest.mark.parametrize(("block", "levels"), [(2, 1), (2, 3), (5, 2), (1024, 3)])
 def test_pairs_past_the_pivot_are_found(spark, monkeypatch, block, levels):
     """A chain whose ends are no link, and texts that share half of their words; small
     blocks force further pivots, splits by later bands and many groups."""
@@ -68,6 +68,11 @@ def test_pairs_past_the_pivot_are_found(spark, monkeypatch, block, levels):
         own = [f"q{k // 2}-{x}" for x in range(60)]
         own[r.randrange(60)] = f"y{k}"
         rows.append((100 + k, " ".join(base[:140] + own)))
+    for k in range(40):  # near copies of which about half the pairs are links
+        words = [f"v{x}" for x in range(200)]
+        for _ in range(r.randrange(1, 9)):
+            words[r.randrange(200)] = f"u{k}-{r.randrange(999)}"
+        rows.append((200 + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert told(M.near_duplicates(docs, 3, 85, 100)) == brute(rows, 3, 85, 100)
 

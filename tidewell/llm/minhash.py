@@ -7,16 +7,17 @@
 2. Signatures are cut into bands; classes that agree on a band share a bucket. Each
    member of a bucket is compared, on full sets, with one pivot only, so a bucket costs
    as many comparisons as it has members. Links give components.
-3. A bucket of more than ``BLOCK`` members that still has several components meets
-   further pivots, as long as these find links. If it stays mixed, it is split by
-   each later band: a linked pair agrees on many bands, so it meets again in a smaller
-   group, and texts that share one passage part.
-4. Two members of a group that are still in different components may be linked past the
-   pivots. Such pairs are looked for inside tasks: signatures that cannot belong to a
-   link are passed over, the others are compared on full sets. Pairs are neither written
-   nor shuffled; only links between components leave a task. A pair is looked at in its
-   first common bands. A group that ``LEVELS`` bands leave too large for one task is
-   dealt out in blocks, two to a task.
+3. Two members of a bucket that are still in different components may be linked past the
+   pivot. Such pairs have a member outside the bucket's largest component, the minority,
+   and are looked for inside tasks that hold a block of the minority and a block of the
+   bucket: signatures that cannot belong to a link are passed over, the others are
+   compared on full sets. Pairs are neither written nor shuffled; only links between
+   components leave a task. A pair is looked at in its first common bands.
+4. A bucket whose minority is more than one block meets ``PIVOTS`` further pivots a turn, as
+   long as these find links: near copies of one text come together. What stays apart is
+   split by each later band: a linked pair agrees on many bands, so it meets again in a
+   smaller group, and texts that share one passage part. A minority that is still large
+   after ``LEVELS`` bands is dealt out in blocks, each with every block of its group.
 5. Components over all links, by large-star and small-star.
 
 The chance that a pair at the threshold shares no band is (1 - s^rows)^bands, 5e-8 for
@@ -41,8 +42,8 @@ from tidewell.session import materialise, prepare
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BLOCK = 512
-LEVELS, TURNS = 3, 4  # bands that name a group at most; pivots of a large group at each level
+BLOCK = 1024
+LEVELS, TURNS, PIVOTS = 3, 3, 8  # bands that name a group at most; turns at each level; pivots a turn
 BROADCAST_BYTES = 64 << 20
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -290,64 +291,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _buckets(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (band, key, node) of keys that occur twice or more, with their number."""
-    twice = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k"), f"{name}-keys")
-    return materialise(join_ids(rows, twice, F.col("key") == F.col("k"), "inner").select("band", "key", "n", "node"), name)
+    """The rows (band, key, node) of keys that occur twice or more, with the least node."""
+    twice = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select(F.col("key").alias("k"), "pivot"), f"{name}-keys")
+    return materialise(join_ids(rows, twice, F.col("key") == F.col("k"), "inner").select("band", "key", "pivot", "node"), name)
+
+
+def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (band, key, node) of groups of several components, with component, n and
+    minority: whether the row, and how many rows, are outside the group's largest
+    component. A group of one block at most is all minority."""
+    own = rows.select("band", "key", "node").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+    parts = own.groupBy("key", "component").agg(F.count("*").alias("n"))
+    of_group = parts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+    mixed = of_group.where("parts > 1").select("k", "n", F.when(F.col("n") > BLOCK, F.col("most.component")).alias("largest"), F.when(F.col("n") > BLOCK, F.col("n") - F.col("most.n")).otherwise(F.col("n")).alias("minority"))
+    mixed = materialise(mixed, "minhash-mixed")
+    joined = join_ids(own, mixed, F.col("key") == F.col("k"), "inner")
+    return materialise(joined.select("band", "key", "node", "component", "n", "minority", F.coalesce(F.col("component") != F.col("largest"), F.lit(True)).alias("minor")), "minhash-open")
+
+
+def _to_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of different components: members of each group with ``PIVOTS`` members of it."""
+    h = F.xxhash64("node", F.lit(turn))
+    firsts = [F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == i, F.col("node"))) for i in range(PIVOTS)]
+    pivots = rows.groupBy(F.col("key").alias("k")).agg(F.array_compact(F.array(*firsts)).alias("p")).select("k", F.explode("p").alias("v"))
+    pivots = pivots.join(rows.select(F.col("key").alias("own"), F.col("node").alias("w"), F.col("component").alias("theirs")), (F.col("k") == F.col("own")) & (F.col("v") == F.col("w")))
+    met = rows.join(pivots, (F.col("key") == F.col("k")) & (F.col("component") != F.col("theirs")))
+    return met.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in groups (left, right) of two blocks: each block of the minority with itself
+    and with every other block of its group."""
+    few, rest = F.ceil(F.col("minority") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("minority")) / BLOCK).cast("int")
+    sized = rows.withColumn("few", few).withColumn("all", few + rest)
+    block = F.when(F.col("minor"), F.pmod(F.hash("node"), "few")).otherwise(F.col("few") + F.pmod(F.hash("node"), F.greatest(F.col("all") - F.col("few"), F.lit(1))))
+    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("all")).otherwise(F.col("few")) - 1)
+    dealt = sized.withColumn("block", block.cast("int")).withColumn("other", F.explode(others))
+    return dealt.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band", "level", "block", "node", "component")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes, enough of them that components are exact."""
     signatures = classes.select("node", "signature")
-    members = _buckets(signatures.mapInArrow(_bands, "band int, key long, node long"), "minhash-members")
+    rows = _buckets(signatures.mapInArrow(_bands, "band int, key long, node long"), "minhash-members")
 
     # full sets of the classes that share a bucket
-    wanted = materialise(members.select(F.col("node").alias("w")).distinct().join(classes, F.col("node") == F.col("w")).select("node", "rep", "f1", "f2"), "minhash-wanted")
+    wanted = materialise(rows.select(F.col("node").alias("w")).distinct().join(classes, F.col("node") == F.col("w")).select("node", "rep", "f1", "f2"), "minhash-wanted")
     texts = join_ids(docs.select("doc_id", "text"), wanted, F.col("doc_id") == F.col("rep"), "inner").select("text", "node", "f1", "f2")
     sets = materialise(texts.mapInArrow(partial(_sets, size=size), "node long, own array<long>").dropDuplicates(["node"]), "minhash-sets")
 
-    def placed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-        """Rows with their component; from groups of several components only."""
-        if groups is None:
-            return rows.withColumn("component", F.col("node"))
-        own = rows.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").withColumn("component", F.coalesce("component", "node")).drop("g")
-        mixed = materialise(own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("key").alias("k")), "minhash-mixed")
-        return materialise(join_ids(own, mixed, F.col("key") == F.col("k"), "left_semi"), "minhash-open")
-
-    def to_pivots(rows: DataFrame, turn: int) -> DataFrame:
-        """Links of a group's members with its pivot, another one each turn."""
-        first = F.struct(F.min("node").alias("node"), F.min("node").alias("component"))  # at first each is its own component
-        pivot = rows.groupBy(F.col("key").alias("k")).agg((F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))) if turn else first).alias("p"))
-        pairs = rows.join(pivot, (F.col("key") == F.col("k")) & (F.col("component") != F.col("p.component"))).select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct()
-        return materialise(confirmed(pairs, sets, num, den), "minhash-links")
-
-    found = to_pivots(placed(members, None), 0)
+    pairs = rows.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    found = materialise(confirmed(pairs, sets, num, den), "minhash-links")
     groups = materialise(components(found), "minhash-groups")
-    rows, settled = members, []
+    settled = []
     for level in range(LEVELS):
-        rows = placed(rows, groups)
-        for turn in range(1, TURNS):
-            large = rows.where(F.col("n") > BLOCK)
+        rows = _placed(rows, groups)
+        large = rows.where(F.col("minority") > BLOCK)
+        for turn in range(TURNS):
             if not large.head(1):
                 break
-            new = to_pivots(large, turn)
+            pairs = materialise(_to_pivots(large, turn), "minhash-pairs")
+            asked = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "minhash-asked")
+            new = materialise(confirmed(pairs, join_ids(sets, asked, F.col("node") == F.col("id"), "left_semi"), num, den), "minhash-links")
             if not new.head(1):
                 break
             found = found.unionByName(new)
             groups = materialise(components(found), "minhash-groups")
-            rows = placed(rows.drop("component"), groups)
-        last = level == LEVELS - 1
-        settled.append((rows if last else rows.where(F.col("n") <= BLOCK)).withColumn("level", F.lit(level)))
-        large = rows.where(F.col("n") > BLOCK)
-        if last or not large.head(1):
+            rows = _placed(rows, groups)
+            large = rows.where(F.col("minority") > BLOCK)
+        last = level == LEVELS - 1 or not large.head(1)
+        settled.append((rows if last else rows.where(F.col("minority") <= BLOCK)).withColumn("level", F.lit(level)))
+        if last:
             break
         rows = _buckets(large.select("band", "key", "node").join(signatures, "node").mapInArrow(_later_bands, "band int, key long, node long"), "minhash-members")
 
     # what the comparisons with pivots leave open
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    still = reduce(DataFrame.unionByName, settled).withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band", "level", "block", "node", "component")
     floor = HASHES * (num / den - 6 * (num / den * (1 - num / den) / HASHES) ** 0.5)
     order = [*GROUP, "block", "node"]
+    dealt = _dealt(reduce(DataFrame.unionByName, settled))
     needed = materialise(dealt.join(signatures, "node").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_needed, least=floor), DEALT), "minhash-needed")
     more = needed.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(partial(_links, least=floor, num=num, den=den), "u long, v long")
     return found.unionByName(more)
