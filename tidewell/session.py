@@ -30,11 +30,18 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") ->
     return spark
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound Arrow batches by bytes."""
+    """Let Python workers import this package, and bound the bytes of an Arrow batch, so
+    that a worker's memory hangs on the longest text and not on how many long ones meet."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get(_BATCH_CONF) != f"{BATCH_BYTES}b":
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     return spark
 
 
@@ -71,7 +78,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one, which ``release`` will delete."""
+    _WRITTEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -79,12 +88,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the result outlives any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that ``materialise`` has written, once their results are no longer read."""
+    """Delete the tables that ``materialise`` and users of ``new_path`` have written, once
+    their results are no longer read."""
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
