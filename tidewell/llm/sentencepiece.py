@@ -1,15 +1,17 @@
-"""SentencePiece encoding and decoding in numpy, for unigram and BPE model files.
+"""SentencePiece encoding and decoding by batched Viterbi in numpy, for unigram and BPE
+model files.
 
-Distinct words of equal length are encoded together. Prefix hashes give the hash of
-every substring by one multiplication; a binary search in the pieces' sorted hashes
-gives its piece and score.
+Distinct words of equal length advance together. Prefix hashes give the hash of every
+substring by one multiplication; a binary search in the pieces' sorted hashes gives its
+piece and score. For each end position the best last piece over all piece lengths is
+one vectorised maximum, whose argument is the backpointer.
 
-- Unigram models: Viterbi. For each end position, the best predecessor over all
-  piece lengths is one vectorised maximum, whose argument is the backpointer.
-- BPE models: the best segmentation by summed scores is not what such a model means:
-  its scores are ranks of merges, and the library merges the best adjacent pair again
-  and again. So the same batches run that instead: all words of a group have equally
-  many symbols at every step, and each step merges each word's best pair.
+- Unigram models: a path's score is the sum of its pieces' scores.
+- BPE models: their scores are ranks of merges, and a sum of ranks means nothing. What
+  the library returns is the one path whose neighbouring pieces stay apart: merging the
+  text of two neighbours again gives these two pieces. So a step from a piece to the next
+  is worth 0 if they stay apart, else minus infinity, and the best path is the library's.
+  Whether two pieces stay apart is read from the trees of their merges (``apart``).
 
 Results equal those of the ``sentencepiece`` library for models whose normaliser is
 ``identity``. The job is one map over the scan; a worker keeps a bounded cache of words.
@@ -37,7 +39,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the file format
 UNIGRAM, BPE = 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-LONG = 192  # longer words go one at a time
+LONG = 192  # longer words of BPE models are merged one at a time, by a heap
+NEVER = 1 << 40  # later than any merge
 CACHE = 400_000
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -125,6 +128,60 @@ class Model:
         self.floor = np.float32(self.key_scores.min() - 10)
         self.raw = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else b" \xe2\x81\x87 " if p[2] == UNKNOWN else p[0].encode() for p in pieces]
         self.cache: dict[str, bytes] = {}
+        if self.kind == BPE:
+            self.grow_trees(hashes, usable)
+
+    def grow_trees(self, hashes: np.ndarray, usable: list[int]) -> None:
+        """For each piece its rank among merges (-1: a symbol, never merged) and the two
+        pieces whose merge it is, shorter pieces first."""
+        texts = [self.pieces[i][0] for i in usable]
+        own, lengths, scores = np.array(usable), np.array([len(t) for t in texts]), np.array([self.pieces[i][1] for i in usable])
+        size = len(self.pieces)
+        self.hash_of, self.length_of = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        self.hash_of[own], self.length_of[own] = hashes, lengths
+        self.rank, self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        merged = own[lengths > 1]
+        self.rank[merged[np.argsort(-scores[lengths > 1], kind="stable")]] = np.arange(len(merged))
+        if not {c for t in texts for c in t} <= self.by_text.keys():
+            raise ValueError("a piece has a character that is no piece")
+        for length in range(2, self.longest + 1):
+            ids = own[lengths == length]
+            if not len(ids):
+                continue
+            h, power = prefix_hashes(word_matrix([self.pieces[i][0] for i in ids])), powers(length)
+            for k in range(1, length):
+                a, b = self.probe(h[:, k])[0], self.probe(h[:, length] - h[:, k] * power[length - k])[0]
+                row = np.flatnonzero((a >= 0) & (b >= 0))
+                row = row[(self.rank[a[row]] < self.rank[ids[row]]) & (self.rank[b[row]] < self.rank[ids[row]])]
+                row = row[self.apart(a[row], b[row], self.rank[ids[row]])]
+                self.left[ids[row]], self.right[ids[row]] = a[row], b[row]
+            if (self.left[ids] < 0).any():
+                raise ValueError("a piece is no merge of pieces of lower ranks")
+
+    def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = NEVER) -> np.ndarray:
+        """Whether pieces a and b, one after the other, stay apart in the merging of their
+        joint text before the merge of rank ``until``.
+
+        Backwards in time, the symbols at the border are a and b, then the part of one of
+        them that was there before its last merge. A merge across the border happens if
+        its rank is lower than that of the merge which ended this pair of symbols (or
+        equal, if that one lies to the right: of equal merges the left one is first).
+        """
+        ok = np.ones(len(a), bool)
+        live = np.flatnonzero((a >= 0) & (b >= 0))
+        x, y, until = a[live].astype(np.int64), b[live].astype(np.int64), np.broadcast_to(until, len(a))[live]
+        power = powers(self.longest)
+        while len(live):
+            joint = self.probe(self.hash_of[x] * power[self.length_of[y]] + self.hash_of[y])[0]
+            across = (joint >= 0) & (self.rank[joint] < until)
+            ok[live[across]] = False
+            rank_x, rank_y = self.rank[x], self.rank[y]
+            on = ~across & ((rank_x >= 0) | (rank_y >= 0))
+            live, x, y, rank_x, rank_y = live[on], x[on], y[on], rank_x[on], rank_y[on]
+            older = rank_x > rank_y
+            until = np.where(older, rank_x, rank_y + 1)
+            x, y = np.where(older, self.right[x], x), np.where(older, y, self.left[y])
+        return ok
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids (-1: none) and scores (-inf) of substring hashes."""
@@ -138,52 +195,6 @@ class Model:
 
     # -- words ---------------------------------------------------------------------
 
-    def merge_group(self, words: list[str]) -> list[list[int]]:
-        """BPE over words of one length: at step t every word still in play has L-t symbols."""
-        points = word_matrix(words)
-        h, n, length = prefix_hashes(points), len(words), points.shape[1]
-        power = powers(length)
-        out: list[list[int]] = [[] for _ in words]
-        row, cut = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
-
-        def scores(rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-            return self.probe(h[rows, end] - h[rows, begin] * power[end - begin])[1]
-
-        pair = scores(row[:, None], cut[:, :-2], cut[:, 2:])
-
-        def finish(done: np.ndarray) -> None:
-            begin, end = cut[done, :-1], cut[done, 1:]
-            ids = self.probe(h[row[done][:, None], end] - h[row[done][:, None], begin] * power[end - begin])[0]
-            for r, own, b, e in zip(row[done].tolist(), ids.tolist(), begin.tolist(), end.tolist(), strict=True):
-                out[r] = own if -1 not in own else [y for x, i, j in zip(own, b, e, strict=True) for y in ([x] if x >= 0 else self.spell(words[r][i:j]))]
-
-        while len(row):
-            if pair.shape[1] == 0:
-                finish(np.arange(len(row)))
-                break
-            best = pair.argmax(axis=1)
-            dead = np.isneginf(pair[np.arange(len(row)), best])
-            if dead.any():
-                finish(np.flatnonzero(dead))
-                live = ~dead
-                row, cut, pair, best = row[live], cut[live], pair[live], best[live]
-                if not len(row):
-                    break
-            m, r = pair.shape[1], np.arange(len(row))
-            keep = np.ones(cut.shape, bool)
-            keep[r, best + 1] = False
-            cut = cut[keep].reshape(len(row), -1)
-            keep = np.ones(pair.shape, bool)
-            keep[r, best] = False
-            pair = pair[keep].reshape(len(row), m - 1)
-            for shift in (-1, 0):  # the pairs left and right of the merged symbol
-                at = best + shift
-                mine = np.flatnonzero((at >= 0) & (at < m - 1))
-                if len(mine):
-                    a = at[mine]
-                    pair[mine, a] = scores(row[mine], cut[mine, a], cut[mine, a + 2])
-        return out
-
     def merge_long(self, word: str) -> list[int]:
         """BPE over one long word with a heap of pairs."""
         symbols: list[str | None] = list(word)
@@ -209,20 +220,26 @@ class Model:
         return [y for s in symbols if s is not None for y in ([self.by_text[s]] if s in self.by_text else self.spell(s))]
 
     def viterbi_group(self, words: list[str]) -> list[list[int]]:
-        """Unigram over words of one length; of equal scores the longest last piece wins."""
+        """Words of one length; of equal scores the longest last piece wins."""
         points = word_matrix(words)
         h, n, length = prefix_hashes(points), len(words), points.shape[1]
         power = powers(length)
         best = np.full((n, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back, piece = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), -1, np.int32)
+        r = np.arange(n)
         for end in range(1, length + 1):
             begins = np.arange(max(0, end - self.longest), end)
             ids, score = self.probe(h[:, end][:, None] - h[:, begins] * power[end - begins])
-            score[:, -1] = np.where(ids[:, -1] < 0, self.floor, score[:, -1])
+            if self.kind == BPE:
+                score = np.where(ids >= 0, np.float32(0), np.float32(-np.inf))
+                score[:, -1] = 0  # a symbol that is no piece stays by itself
+                row, at = np.nonzero((ids >= 0) & (begins > 0))
+                score[row, at] = np.where(self.apart(piece[row, begins[at]], ids[row, at]), 0, -np.inf)
+            else:
+                score[:, -1] = np.where(ids[:, -1] < 0, self.floor, score[:, -1])
             total = best[:, begins] + score
             top = total.argmax(axis=1)
-            r = np.arange(n)
             best[:, end], back[:, end], piece[:, end] = total[r, top], begins[top], ids[r, top]
         out = []
         for w, b, p in zip(words, back.tolist(), piece.tolist(), strict=True):
@@ -231,8 +248,8 @@ class Model:
                 ids.append([p[j]] if p[j] >= 0 else self.spell(w[b[j] : j])[::-1])
                 j = b[j]
             flat = [y for x in ids for y in x][::-1]
-            # the library joins neighbouring unknown symbols into one
-            out.append(flat if self.bytes else [x for k, x in enumerate(flat) if x != self.unknown or not k or flat[k - 1] != x])
+            # the library joins neighbouring unknown symbols into one for unigram models
+            out.append(flat if self.bytes or self.kind == BPE else [x for k, x in enumerate(flat) if x != self.unknown or not k or flat[k - 1] != x])
         return out
 
     # -- texts ---------------------------------------------------------------------
@@ -247,11 +264,10 @@ class Model:
                 for w in own:
                     self.cache[w] = np.array(self.merge_long(w), np.uint32).tobytes()
                 continue
-            run = self.merge_group if self.kind == BPE else self.viterbi_group
-            size = max(1, 2_000_000 // (length * (length if self.kind == BPE else 8)))
+            size = max(1, 2_000_000 // (length * 8))
             for at in range(0, len(own), size):
                 part = own[at : at + size]
-                for w, ids in zip(part, run(part), strict=True):
+                for w, ids in zip(part, self.viterbi_group(part), strict=True):
                     self.cache[w] = np.array(ids, np.uint32).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -297,7 +313,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Itera
         n = pa.array([len(x) for x in ids], pa.int64())
         if digest:
             back = [model.decode(x) for x in ids]
-            same = pa.array([a == (b or "").replace(SPACE, " ") for a, b in zip(back, texts, strict=True)])
+            same = pa.array([a == (b or "") for a, b in zip(back, texts, strict=True)])
             crc = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
             decoded = pa.array([zlib.crc32(x.encode()) for x in back], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, crc, decoded, same], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"])
@@ -309,10 +325,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, digest: bool) -> Itera
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, digest: bool = False) -> DataFrame:
     """Encode whole texts: doc_id, ids, n_tokens; with ``digest`` doc_id, n_tokens,
-    ids_crc32 (little-endian 32-bit ids), decoded_crc32 and round_trip (the decoded text
-    equals the text, U+2581 being read as a space).
+    ids_crc32 (little-endian 32-bit ids), decoded_crc32 and round_trip (whether the decoded
+    text equals the text; false where the text has U+2581, the model's sign for a space,
+    which decodes to a space).
 
-    A null or empty text has no ids. Repeated rows and null ids are kept as they are;
+    A null or empty text has no ids and decodes to an empty one. Repeated rows and null ids are kept as they are;
     other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
