@@ -1,12 +1,14 @@
 """Audio features of payload bytes stored as 8-bit PCM.
 
 A payload becomes a mono WAV file of unsigned 8-bit samples, one sample a byte, so
-nothing is lost. The stored bytes are parsed again; what they hold is resampled by a
-polyphase filter, cut into overlapping frames, turned into log-mel energies, and
+nothing is lost. The stored bytes are parsed again; what they hold is resampled by the
+rational rate ``UP / DOWN``, with one phase of a polyphase filter for each of ``UP`` places
+between input samples, cut into overlapping frames, turned into log-mel energies, and
 segmented by hysteresis on frame energy: a segment opens above the upper threshold and
 closes below the lower one, thresholds lying between the clip's quiet and loud frames.
 Energies are means over a fixed number of equal time spans, so that every clip has a
-tensor of one shape. The job is one map over the scan.
+tensor of one shape; the tensors of a batch are one Arrow column of fixed-shape tensors.
+The job is one map over the scan.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tidewell.session import prepare
 
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 32
+RATE, UP, DOWN, TAPS = 8000, 3, 4, 32
 FRAME, HOP, FFT, MELS, SPANS = 200, 80, 256, 16, 8
 BLOCK = 1 << 20  # samples resampled at once
 
@@ -138,48 +140,89 @@ def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (SPANS, MELS), dim_names=("span", "mel"))
 
 
-def to_tensors(rows: pa.FixedSizeListArray) -> pa.ExtensionArray:
-    """The stored fixed-size lists as an Arrow column of fixed-shape tensors."""
-    return pa.ExtensionArray.from_storage(tensor_type(), rows.cast(tensor_type().storage_type))
+def tensor_column(tensors: list[np.ndarray]) -> pa.ExtensionArray:
+    """Tensors of one shape as an Arrow column of fixed-shape tensors."""
+    flat = np.concatenate([t.ravel() for t in tensors]) if tensors else np.empty(0, np.float32)
+    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), SPANS * MELS))
 
 
-SCHEMA = "doc_id long, media binary, rate int, tensor array<float>, segments array<struct<start_ms:long,end_ms:long>>, n_bytes long"
+SCHEMA = "doc_id long, media binary, rate int, tensor array<float>, tensor_shape array<int>, segments array<struct<start_ms:long,end_ms:long>>, n_bytes long"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+BLOCKS = "n long, arrow binary"
+SEGMENTS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+ROWS = 256  # rows worked on at once
+
+
+def _clips(batch: pa.RecordBatch) -> pa.Table:
+    """doc_id, media, rate, samples (read back), tensor (fixed shape), segments and n_bytes
+    of a batch of doc_id and text."""
+    rows = []
+    for text in batch.column(1):
+        raw = text.as_py()
+        media = to_wav(payload(raw))
+        rate, samples = from_wav(media)
+        tensor, found = features(samples, rate)
+        rows.append((media, rate, samples, tensor, [{"start_ms": a, "end_ms": b} for a, b in found], len((raw or "").encode())))
+    media, rate, samples, tensors, found, n = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.table(
+        {"doc_id": batch.column(0), "media": pa.array(media, pa.binary()), "rate": pa.array(rate, pa.int32()), "samples": pa.array(samples, pa.binary()), "tensor": tensor_column(list(tensors)), "segments": pa.array(found, SEGMENTS), "n_bytes": pa.array(n, pa.int64())}
+    )
+
+
+def _digest(clips: pa.Table) -> pa.RecordBatch:
+    rows = []
+    tensors = clips["tensor"].combine_chunks().to_numpy_ndarray()
+    for media, samples, tensor, found, n in zip(clips["media"].to_pylist(), clips["samples"].to_pylist(), tensors, clips["segments"].to_pylist(), clips["n_bytes"].to_pylist(), strict=True):
+        told = hashlib.sha256(np.round(tensor * 100).astype("<i4").tobytes()).hexdigest()[:16]
+        mean = ",".join(f"{x:.2f}" for x in tensor.mean(axis=0, dtype=np.float64) + 0.0)
+        feature = f"{mean}|{told}|{len(found)}:{sum(x['end_ms'] - x['start_ms'] for x in found)}ms"
+        rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([clips["doc_id"].combine_chunks(), *arrays], names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in (DIGEST if digest else SCHEMA).split(", ")]
-    spans = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for text in part.column(1):
-                raw = text.as_py()
-                media = to_wav(payload(raw))
-                rate, samples = from_wav(media)
-                tensor, found = features(samples, rate)
-                n = len((raw or "").encode())
-                if digest:
-                    told = hashlib.sha256(np.round(tensor * 100).astype("<i4").tobytes()).hexdigest()[:16]
-                    mean = ",".join(f"{x:.2f}" for x in tensor.mean(axis=0, dtype=np.float64) + 0.0)
-                    rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{mean}|{told}|{len(found)}:{sum(b - a for a, b in found)}ms"))
-                else:
-                    rows.append((media, rate, tensor.ravel(), [{"start_ms": a, "end_ms": b} for a, b in found], n))
-            cols = list(zip(*rows, strict=True))
+        for at in range(0, batch.num_rows, ROWS):
+            clips = _clips(batch.slice(at, ROWS))
             if digest:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                yield _digest(clips)
             else:
-                arrays = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float32())), pa.array(cols[3], spans), pa.array(cols[4], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
+                tensors = clips["tensor"].combine_chunks().storage.cast(pa.list_(pa.float32()))
+                shape = pa.array([[SPANS, MELS]] * len(clips), pa.list_(pa.int32()))
+                arrays = [clips["doc_id"], clips["media"], clips["rate"], tensors, shape, clips["segments"], clips["n_bytes"]]
+                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays], names=["doc_id", "media", "rate", "tensor", "tensor_shape", "segments", "n_bytes"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            clips = _clips(batch.slice(at, ROWS)).select(["doc_id", "tensor", "segments"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, clips.schema) as out:
+                out.write_table(clips)
+            yield pa.RecordBatch.from_arrays([pa.array([len(clips)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n", "arrow"])
+
+
+def tensor_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """n, arrow: Arrow streams of up to ``ROWS`` clips each, with the columns doc_id, tensor
+    (of the fixed-shape tensor type) and segments. They may be written by any sink; ``read_block`` opens
+    one. Rows are treated as ``audio`` does; an empty table gives no blocks."""
+    prepare(docs.sparkSession)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(_blocks, BLOCKS)
+
+
+def read_block(arrow: bytes) -> pa.Table:
+    return pa.ipc.open_stream(arrow).read_all()
 
 
 def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Store whole texts as 8-bit audio and describe it.
 
     ``digest=False``: doc_id, media (WAV), rate, tensor (SPANS x MELS floats in row
-    order; ``to_tensors`` gives the Arrow tensor column), segments (spans of time),
-    n_bytes. ``digest=True``: sizes and checksums of payload and media as read back, and
+    order), tensor_shape, segments (spans of time), n_bytes; ``tensor_blocks`` gives
+    Arrow streams with the tensors as a column of fixed shape. ``digest=True``: sizes and checksums of payload and media as read back, and
     the features as a string.
 
     A null or empty text is 64 bytes 0, whose frames all have one energy: no segment.
