@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +71,61 @@ def test_title_case_share_is_of_all_words():
         words = ["Title" if i % 4 == 1 else "plain" for i in range(n)]
         assert abs(C.statistics(" ".join(words))[-1] - sum(w == "Title" for w in words) / n) < 1e-6
     assert C.statistics(" \n")[-1] == 0
+
+
+def in_one_pass(docs, labels, n_features=256, width=4.0, ridge=1e-2, folds=4, seed=7):
+    """The scores of all rows by numpy alone, as the docstrings say them."""
+    rng = np.random.default_rng(seed)
+    directions, phases = rng.normal(size=(C.N_STATS, n_features)) / width, rng.uniform(0, 2 * np.pi, n_features)
+    x = np.stack([C.statistics(t) for t in docs.text]).astype(np.float64)
+    own = docs[["doc_id", "fold"]].assign(at=range(len(docs))).merge(labels[labels.quality.isin([0, 1])], on="doc_id")
+    own = own[[zlib.crc32(str(i).encode()) % 3 != 1 for i in own.doc_id]]
+    fit, rest = own[own.fold != 0], own[own.fold == 0]
+    mean, scale = x[fit["at"]].mean(axis=0), x[fit["at"]].std(axis=0)
+    scale[scale <= 1e-9] = 1
+    z = np.cos((x - mean) / scale @ directions + phases) * np.sqrt(2 / n_features)
+    z = np.column_stack((z, np.ones(len(z))))
+    a = z[fit["at"]]
+    raw = z @ np.linalg.solve(a.T @ a + ridge * np.eye(n_features + 1), a.T @ fit.quality.to_numpy(float))
+    at = np.clip((raw[rest["at"]] - C.LOW) / (C.HIGH - C.LOW) * C.BINS, 0, C.BINS - 1).astype(int)
+    bins = np.unique(at)
+    y, n = rest.quality.to_numpy(float), np.array([(at == b).sum() for b in bins], float)
+    fit_values = C.pool_adjacent_violators(np.array([y[at == b].mean() for b in bins]), n)
+    return np.clip(np.interp(raw, C.LOW + (bins + 0.5) * (C.HIGH - C.LOW) / C.BINS, fit_values), 0, 1)
+
+
+def test_scores_of_all_rows_equal_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")).toPandas()
+    want = dict(zip(rows.doc_id, in_one_pass(rows, labels.toPandas()), strict=True))
+    got = C.classify(docs, C.train(docs.repartition(7), labels)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-3 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_sums_run_in_every_partition(spark):
+    from functools import partial
+
+    model = C.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int"))
+    rows = spark.createDataFrame([([0.0] * C.N_STATS, 1.0)] * 40, "x array<float>, y double").repartition(8)
+    tracker, group = spark.sparkContext.statusTracker(), "sums"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        C.summed(rows.mapInArrow(partial(C._normal_equations, model=model), "sums binary"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks == 8 for s in stages if s) >= 1
+
+
+def test_clashing_columns_and_repeats(spark, hard, labels):
+    docs = hard.selectExpr("*", "1 as __id", "2 as y", "'z' as x", "3 as calibrates", "4 as quality")
+    model = C.train(docs, labels.unionByName(labels))
+    assert C.classify(docs, model).count() == docs.count()
+    kept = C.keep_good(docs, model, 0.0)
+    assert kept.columns == docs.columns and kept.count() == docs.count()

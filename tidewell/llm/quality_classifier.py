@@ -139,8 +139,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def summed(parts: DataFrame) -> np.ndarray:
-    """The sum of the partitions' matrices: one task adds them, the driver gets one."""
-    return np.frombuffer(parts.coalesce(1).mapInArrow(_add, "sums binary").first()[0])
+    """The sum of the partitions' matrices. Each partition sums its own rows in its own
+    task; the exchange before the last sum moves one matrix a partition, and the driver
+    gets one. Parts are added in the order of their partitions, so a rerun gives the
+    same bits."""
+    numbered = parts.withColumn("at", F.spark_partition_id())
+    return np.frombuffer(numbered.repartition(1).sortWithinPartitions("at").mapInArrow(_add, "sums binary").first()[0])
 
 
 def _raw_bins(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -168,14 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, n_features: int = 256, width: floa
 
     One of ``folds`` folds is kept for the calibration. Sums are taken in
     ``sum_partitions`` tasks of bounded memory, in the order of ids, so that a rerun
-    gives the same model. Null labels or ids count for nothing. Without labelled rows
-    every score is one half.
+    gives the same model. Null labels or ids, and labels other than 0 and 1, count for
+    nothing. Every pair of a row and a label of one id is a labelled row, so repeated rows
+    count repeatedly. Texts may be null or empty. Other columns, whatever their names, are
+    not read. Without labelled rows, as with empty tables, every score is one half.
     """
     prepare(docs.sparkSession)
     rng = np.random.default_rng(seed)
     model = Model(np.zeros(N_STATS), np.ones(N_STATS), rng.normal(size=(N_STATS, n_features)) / width, rng.uniform(0, 2 * np.pi, n_features), np.zeros(n_features + 1), np.array([0.0]), np.array([0.5]))
     allowed = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("y"))
-    vectors = docs.selectExpr("doc_id", "text").mapInArrow(_vectors, "doc_id long, x array<float>")
+    vectors = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_vectors, "doc_id long, x array<float>")
     dealt = vectors.join(allowed, F.col("doc_id") == F.col("__id")).select("doc_id", "x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0).alias("calibrates")).repartition(sum_partitions, "doc_id").sortWithinPartitions("doc_id", "y", "x")
     rows = materialise(dealt, "classifier-rows")
     fit, rest = rows.where("not calibrates"), rows.where("calibrates")
@@ -215,7 +221,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     scores. Other columns are not read. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    return docs.selectExpr("doc_id", "text").mapInArrow(partial(_scores, model=model), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_scores, model=model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _good(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
@@ -226,6 +232,11 @@ def _good(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iter
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``least`` or more."""
+    """The rows of ``docs``, all columns, that score ``least`` or more.
+
+    Null and empty texts are scored like any other vector, rows with a null doc_id by
+    their text. Repeated rows stay or go together. Columns of any name pass through. An
+    empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
     return docs.mapInArrow(partial(_good, model=model, least=least), docs.schema)
