@@ -64,3 +64,31 @@ def test_shard_numbers_equal_spark(spark):
     h = rng.integers(-(1 << 63), 1 << 63, 100)
     got = [r[0] for r in spark.createDataFrame([(int(x),) for x in h], "b long").select(F.pmod(F.hash("b"), F.lit(7))).collect()]
     assert L.shard_numbers(np.column_stack((h, h)).view(np.uint64), 7).tolist() == got
+
+
+def test_shards_tell_counts():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, (5000, 2), dtype=np.uint64), axis=0)
+    count, doc = rng.integers(2, 1 << 40, len(hashes)), rng.integers(-5, 1 << 40, len(hashes))
+    shard = L.Shard(*L.build_shard(hashes, count, doc))
+    got, docs = shard.probe(hashes)
+    assert (got == np.minimum(count, (1 << 32) - 1)).all() and (docs == doc).all()
+    assert (shard.probe(hashes + np.uint64(1))[0] == 0).all()
+
+
+def test_hashes_that_blend_alike_get_another_salt():
+    a = np.array([5, 9], np.uint64)
+    b = L.mix(a, 0) ^ np.uint64(77)  # both blend to 77 under salt 0
+    hashes = np.column_stack((a, b))
+    assert L.distinct_salt(hashes) == 1
+    got, docs = L.Shard(*L.build_shard(hashes, np.array([3, 4]), np.array([1, 2]))).probe(hashes)
+    assert got.tolist() == [3, 4] and docs.tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("least_docs", [2, 4])
+def test_other_thresholds(spark, least_docs):
+    rows = [(i, "\n".join(f"one line of twenty characters {k}" for k in range(6) if i <= k)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in L.dedup_lines(docs, least_docs=least_docs).collect()}
+    # line k is in documents 0..k, of which k keeps it
+    assert got == {i: sum(k + 1 >= least_docs and i < k for k in range(i, 6)) for i in range(6)}

@@ -3,12 +3,14 @@
 1. Every document emits a 128-bit hash of each distinct long key once; a groupBy with
    map-side combine gives the number of documents and the largest doc_id per hash.
    A line that a third of all documents hold is one row per map task there.
-2. Hashes found in enough documents are dealt to shards by their bits. Each shard
-   becomes one row: a minimal perfect hash (hash and displace) over its hashes, an
-   array of 64-bit fingerprints and an array of the largest doc_id.
-3. Documents probe these arrays. An index within ``broadcast_bytes`` travels to the
-   executors once and the rewrite is a map over the scan; beyond it each document
-   sends its hashes to the shards that own them, hot shards being served in salted copies.
+2. Hashes of two documents or more are dealt to shards by their bits; a hash that is in no
+   shard is in one document, where no threshold can drop it. Each shard becomes one row:
+   a minimal perfect hash (hash and displace) over its hashes, and by its slots an array
+   of 64-bit fingerprints, an array of counts and an array of the largest doc_id.
+3. Documents probe these arrays; the count found decides. An index within
+   ``broadcast_bytes`` travels to the executors once and the rewrite is a map over the
+   scan; beyond it each document sends its hashes to the shards that own them, hot shards
+   being served in salted copies.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from tidewell.session import materialise, prepare
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = np.iinfo(np.int64).min
-INDEX_SCHEMA = "shard int, seeds binary, prints binary, docs binary"
+ARRAYS = ("seeds", "prints", "counts", "docs")
+KEY_BYTES = 8 + 4 + 8 + 1  # of a hash in the arrays
+INDEX_SCHEMA = "shard int, seeds binary, prints binary, counts binary, docs binary"
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -60,13 +64,24 @@ def mix(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def blend(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of 128-bit hashes (n x 2)."""
+    return mix(hashes[:, 0], salt) ^ hashes[:, 1]
+
+
+def distinct_salt(hashes: np.ndarray) -> int:
+    """The least salt whose blends of distinct hashes are distinct."""
+    salt = 0
+    while len(np.unique(blend(hashes, salt))) < len(hashes):
+        salt += 1
+    return salt
+
+
 def build_mph(keys: np.ndarray, load: int = 4) -> np.ndarray:
     """Seeds, one per bucket, that send the distinct uint64 keys one-to-one to
     0..n-1. Buckets are placed largest first; the seed of a bucket is the least that
     sends its keys to free slots."""
     n = len(keys)
-    if len(np.unique(keys)) < n:
-        raise ValueError("two keys agree in the first half of their hashes")
     buckets = max(1, -(-n // load))
     seeds = np.zeros(buckets, np.uint32)
     bucket = (mix(keys, 0) % np.uint64(buckets)).astype(np.int64)
@@ -102,15 +117,27 @@ def slot_of(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
 
 
 class Shard:
-    """The arrays of one shard, ready to be probed."""
+    """The arrays of one shard, ready to be probed. The first seed is the salt of its hashes."""
 
-    def __init__(self, seeds: bytes, prints: bytes, docs: bytes):
-        self.seeds, self.prints, self.docs = np.frombuffer(seeds, np.uint32), np.frombuffer(prints, np.uint64), np.frombuffer(docs, np.int64)
+    def __init__(self, seeds: bytes, prints: bytes, counts: bytes, docs: bytes):
+        self.seeds, self.prints, self.counts, self.docs = (np.frombuffer(x, t) for x, t in zip((seeds, prints, counts, docs), (np.uint32, np.uint64, np.uint32, np.int64), strict=True))
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes (n x 2) are in the shard, and the doc_id that keeps the line."""
-        slots = slot_of(hashes[:, 0], self.seeds, len(self.prints))
-        return self.prints[slots] == hashes[:, 1], self.docs[slots]
+        """For hashes (n x 2) in how many documents they are (0: not in the shard) and the
+        largest doc_id."""
+        slots = slot_of(blend(hashes, int(self.seeds[0])), self.seeds[1:], len(self.prints))
+        return np.where(self.prints[slots] == hashes[:, 1], self.counts[slots], 0), self.docs[slots]
+
+
+def build_shard(hashes: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """The arrays of a shard of distinct hashes (n x 2)."""
+    salt = distinct_salt(hashes)
+    keys = blend(hashes, salt)
+    seeds = build_mph(keys)
+    slots = slot_of(keys, seeds, len(keys))
+    prints, counts, docs = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint32), np.empty(len(keys), np.int64)
+    prints[slots], counts[slots], docs[slots] = hashes[:, 1], np.minimum(count, np.iinfo(np.uint32).max), doc
+    return np.concatenate(([np.uint32(salt)], seeds)).astype(np.uint32).tobytes(), prints.tobytes(), counts.tobytes(), docs.tobytes()
 
 
 def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +146,12 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not held:
         return
     frame = pa.Table.from_batches(held)
-    shard = frame["shard"].to_numpy()
-    a, b, d = frame["a"].to_numpy().view(np.uint64), frame["b"].to_numpy().view(np.uint64), frame["doc"].to_numpy()
+    shard, count, doc = (frame[c].to_numpy() for c in ("shard", "n", "doc"))
+    hashes = np.column_stack([frame[c].to_numpy() for c in ("a", "b")]).view(np.uint64)
     for s in np.unique(shard):
         own = shard == s
-        keys, second, doc = a[own], b[own], d[own]
-        seeds = build_mph(keys)
-        slots = slot_of(keys, seeds, len(keys))
-        prints, docs = np.empty_like(second), np.empty_like(doc)
-        prints[slots], docs[slots] = second, doc
-        yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (seeds, prints, docs))], names=["shard", "seeds", "prints", "docs"])
+        arrays = build_shard(hashes[own], count[own], doc[own])
+        yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *(pa.array([x], pa.binary()) for x in arrays)], names=["shard", *ARRAYS])
 
 
 # --- counting ---------------------------------------------------------------------
@@ -148,20 +171,20 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.concatenate(ids))], names=["a", "b", "doc"])
 
 
-def build_index(docs: DataFrame, least_chars: int, least_docs: int, keys_per_shard: int) -> tuple[DataFrame, int, int, int]:
+def build_index(docs: DataFrame, least_chars: int, keys_per_shard: int) -> tuple[DataFrame, int, int, int]:
     """The shard rows (in the shared folder), their number, their bytes, and the most
     probes that any shard will find in its arrays."""
     spark = docs.sparkSession
-    counted = docs.select("doc_id", "text").mapInArrow(partial(_emit_hashes, least=least_chars), "a long, b long, doc long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc").alias("doc"))
-    frequent = materialise(counted.where(F.col("n") >= least_docs), "line-keys")
-    total = frequent.count()
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_emit_hashes, least=least_chars), "a long, b long, doc long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc").alias("doc"))
+    repeated = materialise(counted.where("n > 1"), "line-keys")
+    total = repeated.count()
     if not total:
         return spark.createDataFrame([], INDEX_SCHEMA), 1, 0, 0
     shards = max(1, -(-total // keys_per_shard))
-    dealt = frequent.withColumn("shard", F.pmod(F.hash("b"), F.lit(shards)).cast("int"))
+    dealt = repeated.withColumn("shard", F.pmod(F.hash("b"), F.lit(shards)).cast("int"))
     hottest = dealt.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-    index = dealt.select("shard", "a", "b", "doc").repartition(shards, "shard").mapInArrow(_build_shards, INDEX_SCHEMA)
-    return materialise(index, "line-index"), shards, total * 20, hottest
+    index = dealt.select("shard", "a", "b", "n", "doc").repartition(shards, "shard").mapInArrow(_build_shards, INDEX_SCHEMA)
+    return materialise(index, "line-index"), shards, total * KEY_BYTES, hottest
 
 
 def shard_numbers(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -206,7 +229,7 @@ def _outcome(batch: pa.RecordBatch, drops: list[list[int]], texts: bool) -> pa.R
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def _probe_broadcast(batches: Iterator[pa.RecordBatch], index, shards: int, least: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _probe_broadcast(batches: Iterator[pa.RecordBatch], index, shards: int, least: int, least_docs: int, texts: bool) -> Iterator[pa.RecordBatch]:
     held = {s: Shard(*x) for s, *x in index.value}
     for batch in batches:
         drops = []
@@ -218,13 +241,13 @@ def _probe_broadcast(batches: Iterator[pa.RecordBatch], index, shards: int, leas
             for s in np.unique(numbers):
                 if s in held:
                     mine = np.flatnonzero(numbers == s)
-                    found, keeper = held[s].probe(h[mine])
-                    drop[mine] = found & (keeper != own)
+                    count, keeper = held[s].probe(h[mine])
+                    drop[mine] = (count >= least_docs) & (keeper != own)
             drops.append(at[drop].tolist())
         yield _outcome(batch, drops, texts)
 
 
-MIXED = "shard int, salt int, kind int, doc_id long, text_hash long, line int, a long, b long, seeds binary, prints binary, docs binary"
+MIXED = "shard int, salt int, kind int, doc_id long, text_hash long, line int, a long, b long, seeds binary, prints binary, counts binary, docs binary"
 
 
 def _emit_probes(batches: Iterator[pa.RecordBatch], shards: int, least: int, salts: int) -> Iterator[pa.RecordBatch]:
@@ -239,10 +262,10 @@ def _emit_probes(batches: Iterator[pa.RecordBatch], shards: int, least: int, sal
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2
             arrays = [pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(cols[0]), pa.binary()) for _ in range(3))], names=[x.split()[0] for x in MIXED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(cols[0]), pa.binary()) for _ in ARRAYS)], names=[x.split()[0] for x in MIXED.split(", ")])
 
 
-def _probe_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probe_sorted(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
     """Rows by shard and salt, a shard's arrays before its probes: one shard is held at a time."""
     held: Shard | None = None
     at: tuple[int, int] | None = None
@@ -251,12 +274,12 @@ def _probe_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.r_[True, (np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)]) if len(shard) else []
         for begin, end in zip(starts, [*starts[1:], len(shard)], strict=True):
             if kind[begin] == 0:
-                held, at = Shard(*(batch.column(c)[int(begin)].as_py() for c in ("seeds", "prints", "docs"))), (shard[begin], salt[begin])
+                held, at = Shard(*(batch.column(c)[int(begin)].as_py() for c in ARRAYS)), (shard[begin], salt[begin])
             elif at == (shard[begin], salt[begin]):
                 part = batch.slice(begin, end - begin)
                 hashes = np.column_stack([part.column(c).to_numpy() for c in ("a", "b")]).view(np.uint64)
-                found, keeper = held.probe(hashes)
-                drop = pa.array(found & (keeper != part.column("doc_id").to_numpy()))
+                count, keeper = held.probe(hashes)
+                drop = pa.array((count >= least_docs) & (keeper != part.column("doc_id").to_numpy()))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(drop) for c in ("doc_id", "text_hash", "line")], names=["doc_id", "text_hash", "line"])
 
 
@@ -281,17 +304,19 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, tex
     table gives an empty one.
     """
     spark = prepare(docs.sparkSession)
-    index, shards, size, hottest = build_index(docs, least_chars, least_docs, keys_per_shard)
+    if least_docs < 2:
+        raise ValueError("least_docs must be at least 2")
+    index, shards, size, hottest = build_index(docs, least_chars, keys_per_shard)
     rows = docs if texts else docs.select("doc_id", "text")
     schema = docs.schema if texts else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast([tuple(x) for x in index.collect()])
-        return rows.mapInArrow(partial(_probe_broadcast, index=held, shards=shards, least=least_chars, texts=texts), schema)
+        return rows.mapInArrow(partial(_probe_broadcast, index=held, shards=shards, least=least_chars, least_docs=least_docs, texts=texts), schema)
     salts = max(1, min(4096, -(-hottest // rows_per_salt)))
     keyed = rows.withColumn("__own", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
     probes = keyed.selectExpr("__own as doc_id", "__hash as text_hash", "text").mapInArrow(partial(_emit_probes, shards=shards, least=least_chars, salts=salts), MIXED)
-    served = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in MIXED.split(", ")[3:8])), "seeds", "prints", "docs")
-    drops = probes.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe_sorted, "doc_id long, text_hash long, line int")
+    served = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in MIXED.split(", ")[3:8])), *ARRAYS)
+    drops = probes.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(partial(_probe_sorted, least_docs=least_docs), "doc_id long, text_hash long, line int")
     drops = drops.groupBy(F.col("doc_id").alias("__own"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line").alias("__drops"))
     joined = keyed.join(drops, ["__own", "__hash"], "left").select(*rows.columns, "__drops")
     return joined.mapInArrow(partial(_apply_drops, texts=texts), schema)
