@@ -37,10 +37,11 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize(("hot", "broadcast"), [(100_000, 64 << 20), (2, 64 << 20), (100_000, 0)])
+@pytest.mark.parametrize(("hot", "broadcast"), [(100_000, 64 << 20), (2, 64 << 20), (5, 0), (100_000, 0)])
 def test_equals_brute_force(spark, monkeypatch, hot, broadcast):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(S, "ROWS_PER_SALT", 3 if hot == 5 else 4096)
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as doc", "'x' as spans", "2 as text_hash").repartition(3)
     want = [(i, *x) for (i, _), x in zip(rows, brute([t for _, t in rows]), strict=True)]
@@ -48,6 +49,34 @@ def test_equals_brute_force(spark, monkeypatch, hot, broadcast):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_groups_are_repeats_with_all_occurrences(spark):
+    """Each group is one string, at all the places where its anchor's gram stands; groups
+    cover what is removed, and no repeat could be longer within the window."""
+    rows = [(i, t) for i, t in cases() if i is not None and i != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    raws = {i: (t or "").encode() for i, t in rows}
+    groups, covered = {}, {i: bytearray(len(r)) for i, r in raws.items()}
+    for r in S.repeat_groups(docs).collect():
+        groups.setdefault((r.gram, r.number), set()).add((r.doc_id, r.low, r.high))
+        covered[r.doc_id][r.low : r.high] = b"\1" * (r.high - r.low)
+    assert len(groups) > 20
+    for members in groups.values():
+        strings = {raws[i][low:high] for i, low, high in members}
+        assert len(members) > 1 and len(strings) == 1 and len(next(iter(strings))) >= 200
+    want = {i: x[1] for (i, _), x in zip(rows, brute([t for _, t in rows]), strict=True)}
+    assert {i: c.count(1) for i, c in covered.items()} == want
+    # a passage that two texts share is one group of both, whole where its anchor sees all of it
+    passage = prose(77, 80)[:230]
+    n = len(passage.encode())
+    short = spark.createDataFrame([(1, prose(1, 30) + "|" + passage + "|" + prose(2, 30)), (2, prose(3, 30) + "#" + passage + "#" + prose(4, 30))], "doc_id long, text string")
+    found = {}
+    for r in S.repeat_groups(short).collect():
+        found.setdefault((r.gram, r.number), []).append((r.doc_id, r.high - r.low))
+    sizes = {tuple(sorted(x)) for x in found.values()}
+    assert ((1, n), (2, n)) in sizes and all([i for i, _ in x] == [1, 2] and x[0][1] == x[1][1] <= n for x in sizes)
+    assert S.repeat_groups(docs.limit(0)).count() == 0
+
+
 def test_texts_keep_whole_characters(spark):
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans")

@@ -16,9 +16,15 @@ two occurrences share, and about one suffix in eighty is enough.
    neighbours; a stack scan of these lengths gives the tree of common-prefix intervals.
    In each interval the left contexts are compared: where they are not all alike, the
    members part into maximal repeats, each of which is reported with every occurrence.
-   A gram with more than ``HOT`` contexts is not gathered: its windows are counted by hash.
+   A gram with more than ``HOT`` contexts is split by further bytes: two contexts of one
+   window agree on many bytes to the right of the gram or on many to the left of it, so
+   they meet in the group of these bytes; groups are split until they are small, and the
+   tree decides in each. Only contexts that all agree on a whole window, and are still
+   more than ``HOT``, have their windows counted by hash.
 4. Spans are merged per document and cut out in a last map over the scan.
 
+``repeat_groups`` puts out the repeats themselves, with all occurrences.
+
 Contexts are compared byte by byte in step 3 and by 64-bit hashes within one gram in step 2.
 """
 
@@ -41,6 +47,8 @@ LEFT = LENGTH - GRAM  # bytes before an anchor that a window can reach
 WIDTH = LEFT + LENGTH
 CHUNK = 1 << 19
 HOT = 100_000
+ROWS_PER_SALT = 4096  # anchors of one gram to a salt
+NO_ID = -(1 << 63)
 BROADCAST_BYTES = 64 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -140,13 +148,13 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 # --- contexts ---------------------------------------------------------------------
 
-CONTEXTS = "gram long, doc long, text_hash long, place long, before int, after int, bytes binary"
+CONTEXTS = "gram long, context long, doc long, text_hash long, place long, before int, after int, bytes binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts, of one width: bytes 0 stand where the text ends."""
     names = [x.split()[0] for x in CONTEXTS.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
     for batch in batches:
         rows = []
         for doc, text_hash, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
@@ -155,7 +163,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = x["place"]
                 before, after = min(place, LEFT), min(len(raw) - place, LENGTH)
                 context = b"\0" * (LEFT - before) + raw[place - before : place + after] + b"\0" * (LENGTH - after)
-                rows.append((x["gram"], doc, text_hash, place, before, after, context))
+                rows.append((x["gram"], x["context"], doc, text_hash, place, before, after, context))
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
@@ -213,69 +221,142 @@ def maximal_repeats(right: np.ndarray, left: np.ndarray, after: np.ndarray, befo
 
 
 SPANS = "doc long, text_hash long, low long, high long"
+GROUPS = "gram long, number int, context long, low int, high int"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeats from contexts sorted by gram. A task holds a batch and the gram
-    that goes on into the next."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows sorted by ``key``: a task holds a batch and the group that
+    goes on into the next."""
     held: list[pa.RecordBatch] = []
-
-    def work(rows: pa.Table) -> pa.RecordBatch | None:
-        gram = rows["gram"].to_numpy()
-        matrix = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(len(gram), WIDTH)
-        before, after, place = (rows[c].to_numpy().astype(np.int64) for c in ("before", "after", "place"))
-        right, left = matrix[:, LEFT:], matrix[:, :LEFT][:, ::-1]
-        begins = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
-        sizes = np.diff(begins)
-        member, low, high = [], [], []
-        two = begins[:-1][sizes == 2]  # a tree of one interval: all such grams at once
-        if len(two):
-            depth = agreement(right[two], right[two + 1], np.minimum(after[two], after[two + 1]))
-            shared = agreement(left[two], left[two + 1], np.minimum(before[two], before[two + 1]))
-            good = depth + shared >= LENGTH
-            for x in (two, two + 1):
-                member.append(x[good])
-                low.append(place[x[good]] - shared[good])
-                high.append(place[x[good]] + depth[good])
-        for b, e in zip(begins[:-1][sizes > 2].tolist(), begins[1:][sizes > 2].tolist(), strict=True):
-            for depth, own, shared in maximal_repeats(right[b:e], left[b:e], after[b:e], before[b:e], LENGTH):
-                member.append(own + b)
-                low.append(place[own + b] - shared)
-                high.append(place[own + b] + depth)
-        if not member:
-            return None
-        at = pa.array(np.concatenate(member))
-        if not len(at):
-            return None
-        return pa.RecordBatch.from_arrays([rows["doc"].combine_chunks().take(at), rows["text_hash"].combine_chunks().take(at), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["doc", "text_hash", "low", "high"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram = batch.column("gram").to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1]))
-        if held and gram[0] != held[-1].column("gram")[0].as_py():
-            if out := work(pa.Table.from_batches(held)):
-                yield out
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and key[0] != held[-1].column("key")[0].as_py():
+            yield pa.Table.from_batches(held)
             held = []
         if cut:
-            if out := work(pa.Table.from_batches([*held, batch.slice(0, cut)])):
-                yield out
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
         held.append(batch.slice(cut))
-    if held and (out := work(pa.Table.from_batches(held))):
-        yield out
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _intervals(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Members (numbers of rows), bytes before their anchors and bytes from these on, of
+    each maximal repeat of ``LENGTH`` bytes or more within a group; groups of two all at once."""
+    key = rows["key"].to_numpy()
+    matrix = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(len(key), WIDTH)
+    before, after = (rows[c].to_numpy().astype(np.int64) for c in ("before", "after"))
+    right, left = matrix[:, LEFT:], matrix[:, :LEFT][:, ::-1]
+    begins = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    sizes = np.diff(begins)
+    two = begins[:-1][sizes == 2]  # a tree of one interval: all such groups at once
+    if len(two):
+        depth = agreement(right[two], right[two + 1], np.minimum(after[two], after[two + 1]))
+        shared = agreement(left[two], left[two + 1], np.minimum(before[two], before[two + 1]))
+        good = depth + shared >= LENGTH
+        both = np.column_stack((two, two + 1))[good].ravel()
+        yield both, np.repeat(shared[good], 2), np.repeat(depth[good], 2)
+    for b, e in zip(begins[:-1][sizes > 2].tolist(), begins[1:][sizes > 2].tolist(), strict=True):
+        for depth, own, shared in maximal_repeats(right[b:e], left[b:e], after[b:e], before[b:e], LENGTH):
+            yield own + b, shared, np.full(len(own), depth)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of repeats from contexts sorted by group."""
+    for rows in _grams(batches):
+        found = list(_intervals(rows))
+        if found and sum(len(x[0]) for x in found):
+            at, shared, depth = (np.concatenate(x) for x in zip(*found, strict=True))
+            place = rows["place"].to_numpy().astype(np.int64)[at]
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([rows["doc"].combine_chunks().take(take), rows["text_hash"].combine_chunks().take(take), pa.array(place - shared), pa.array(place + depth)], names=["doc", "text_hash", "low", "high"])
+
+
+def alike(bytes_: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Numbers of the classes of rows that agree in columns low..high-1."""
+    if high <= low:
+        return np.zeros(len(bytes_), np.int64)
+    return np.unique(np.ascontiguousarray(bytes_[:, low:high]).view(f"V{high - low}").ravel(), return_inverse=True)[1]
+
+
+def diverse(column: np.ndarray, inside: np.ndarray) -> bool:
+    """Whether the bytes next to a string differ, or one occurrence ends there: it cannot be
+    extended. ``inside``: whether the window and the text go on."""
+    return not inside.all() or bool((column[1:] != column[0]).any())
+
+
+def _scan_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal repeats, numbered within their gram: each member's context and the bytes
+    of the repeat before and from its anchor on."""
+    for rows in _grams(batches):
+        gram, context = rows["key"].to_numpy(), rows["context"].to_numpy()
+        matrix = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8).reshape(len(gram), WIDTH)
+        before, after = rows["before"].to_numpy(), rows["after"].to_numpy()
+        numbers: dict[int, int] = {}
+        out: list[tuple[int, int, int, int, int]] = []
+        for at, shared, depth in _intervals(rows):
+            # members of one interval that agree on as many bytes to the left are one repeat
+            for g, s, d in sorted(set(zip(gram[at].tolist(), shared.tolist(), depth.tolist(), strict=True))):
+                own = at[(gram[at] == g) & (shared >= s) & (depth == d)]
+                classes = alike(matrix[own], LEFT - s, LEFT)
+                for c in np.unique(classes):
+                    members = own[classes == c]
+                    if len(members) > 1 and diverse(matrix[members, max(LEFT - s - 1, 0)], before[members] > s) and diverse(matrix[members, min(LEFT + d, WIDTH - 1)], after[members] > d):
+                        numbers[g] = numbers.get(g, -1) + 1
+                        out += [(g, numbers[g], int(context[m]), s, d) for m in members.tolist()]
+        if out:
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in GROUPS.split(", ")])
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Groups by further bytes. Members of a group agree on ``a`` bytes from their anchors
+    on and ``b`` before them. Two that share a window of ``LENGTH`` bytes agree on m or
+    more to the right, or on LENGTH + 1 - m or more to the left: they meet in one of two
+    groups. Groups of one are dropped."""
+    m = F.ceil((F.col("a") + LENGTH - F.col("b")) / 2).cast("int")
+    rows = rows.withColumn("m", m).withColumn("l", F.lit(LENGTH + 1) - F.col("m"))
+    right = rows.where("after >= m").withColumn("key", F.xxhash64("key", F.lit(0), F.substring("bytes", F.lit(LEFT + 1), F.col("m")))).withColumn("a", F.col("m"))
+    left = rows.where((F.col("before") >= F.col("l")) & (F.col("l") <= LEFT)).withColumn("key", F.xxhash64("key", F.lit(1), F.substring("bytes", F.lit(LEFT + 1) - F.col("l"), F.col("l")))).withColumn("b", F.col("l"))
+    both = materialise(right.unionByName(left).drop("m", "l", "size"), "anchor-split")
+    sizes = both.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size")).where("size > 1")
+    return materialise(both.join(sizes, F.col("key") == F.col("k")).drop("k"), "anchor-groups")
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Spans for grams of very many contexts: each window's hash is counted, with
-    map-side combine, and windows found twice go back to their occurrences."""
+    """Spans for groups of very many contexts that agree on a whole window: each window's
+    hash is counted, with map-side combine, and windows found twice go back to their
+    occurrences."""
     offsets = F.sequence(F.lit(0), F.lit(LEFT))
     window = lambda o: F.struct(o.alias("offset"), F.xxhash64(F.substring("bytes", F.lit(LEFT + 1) - o, F.lit(LENGTH))).alias("window"))
     inside = lambda o: (o <= F.col("before")) & (F.lit(LENGTH) - o <= F.col("after"))
-    rows = contexts.select("gram", "doc", "text_hash", "place", F.inline(F.transform(F.filter(offsets, inside), window)))
-    twice = rows.groupBy("gram", "offset", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice, ["gram", "offset", "window"], "left_semi").select("doc", "text_hash", (F.col("place") - F.col("offset")).alias("low"), (F.col("place") - F.col("offset") + LENGTH).alias("high"))
+    rows = contexts.select("key", "doc", "text_hash", "place", F.inline(F.transform(F.filter(offsets, inside), window)))
+    twice = rows.groupBy("key", "offset", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(twice, ["key", "offset", "window"], "left_semi").select("doc", "text_hash", (F.col("place") - F.col("offset")).alias("low"), (F.col("place") - F.col("offset") + LENGTH).alias("high"))
+
+
+def _tree_spans(fetched: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Spans from contexts (``CONTEXTS``); sizes: gram, count of its contexts."""
+    tree = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, SPANS)
+    columns = ["key", "doc", "text_hash", "place", "before", "after", "bytes"]
+    keyed = fetched.withColumnRenamed("gram", "key")
+    hot = materialise(sizes.where(F.col("count") > HOT).select(F.col("gram").alias("g")), "anchor-hot")
+    if not hot.head(1):
+        return tree(keyed.select(*columns))
+    keyed = materialise(keyed, "anchor-bytes")
+    spans = tree(keyed.join(_sized(hot, 32), F.col("key") == F.col("g"), "left_anti").select(*columns))
+    rows = keyed.join(_sized(hot, 32), F.col("key") == F.col("g"), "left_semi").select(*columns, F.lit(GRAM).alias("a"), F.lit(0).alias("b"))
+    while rows.head(1):
+        rows = _split(rows)
+        spans = spans.unionByName(tree(rows.where(F.col("size") <= HOT).select(*columns)))
+        large = rows.where(F.col("size") > HOT)
+        spans = spans.unionByName(_hot_spans(large.where(F.col("a") + F.col("b") >= LENGTH)))
+        rows = large.where(F.col("a") + F.col("b") < LENGTH)
+    return spans
 
 
 # --- spans per document ---------------------------------------------------------------
@@ -303,34 +384,71 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """doc, text_hash, spans (pairs of int64) of the texts with a repeat; ``keyed`` has
-    doc_id (not null), text_hash and text. Spans may reach past a text's ends."""
+def _anchored(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors whose gram occurs twice or more, with ``salts``; and of grams with several
+    contexts these, with the number and one of their occurrences. A gram with very many
+    anchors has several salts, to which its anchors are dealt."""
     found = materialise(keyed.select("doc_id", "text_hash", "text").mapInArrow(_emit_anchors, ANCHORS), "anchors")
     # a table of its own, so that the join has an exchange on both sides and a gram with very many anchors can be split
-    grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1").select(F.col("gram").alias("g"), (F.col("lo") != F.col("hi")).alias("several")), "anchor-grams")
+    salts = F.least(F.lit(256), F.ceil(F.col("n") / ROWS_PER_SALT)).cast("int").alias("salts")
+    grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1").select(F.col("gram").alias("g"), (F.col("lo") != F.col("hi")).alias("several"), salts), "anchor-grams")
     twice = materialise(found.join(grams, F.col("gram") == F.col("g")).drop("g"), "anchors-twice")
+    contexts = twice.where("several").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "place")).alias("one"), F.max("salts").alias("salts"))
+    return twice, materialise(contexts, "anchor-contexts")
+
+
+def _occurrences(anchors_: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Anchors joined with rows by (gram, context), hot grams being served in salted copies."""
+    served = contexts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnsRenamed({"gram": "g", "context": "c"})
+    dealt = anchors_.withColumn("own_salt", F.pmod(F.hash("doc", "place"), "salts"))
+    return dealt.join(served, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")) & (F.col("own_salt") == F.col("salt"))).drop("g", "c", "salt", "own_salt")
+
+
+def _fetched(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The bytes of one occurrence of each context."""
+    wanted = contexts.groupBy(F.col("one.doc").alias("d"), F.col("one.text_hash").alias("t")).agg(F.collect_list(F.struct("one.place", "gram", "context")).alias("wanted"))
+    wanted = F.broadcast(wanted) if contexts.count() * 40 <= BROADCAST_BYTES else wanted
+    return keyed.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "wanted").mapInArrow(_fetch, CONTEXTS)
+
+
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """doc, text_hash, spans (pairs of int64) of the texts with a repeat; ``keyed`` has
+    doc_id (not null), text_hash and text. Spans may reach past a text's ends."""
+    twice, contexts = _anchored(keyed)
     whole = lambda df: df.select("doc", "text_hash", F.greatest(F.col("place") - LEFT, F.lit(0)).alias("low"), (F.col("place") + LENGTH).alias("high"))
-    spans = whole(twice.where("not several"))
-
-    several = twice.where("several")
-    contexts = materialise(several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "place")).alias("one")), "anchor-contexts")
-    again = contexts.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
-    spans = spans.unionByName(whole(several.join(again, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi")))
-
-    wanted = contexts.groupBy(F.col("one.doc").alias("d"), F.col("one.text_hash").alias("t")).agg(F.collect_list(F.struct("one.place", "gram")).alias("wanted"))
-    wanted = F.broadcast(wanted) if contexts.count() * 32 <= BROADCAST_BYTES else wanted
-    fetched = keyed.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "wanted").mapInArrow(_fetch, CONTEXTS)
-    hot = contexts.groupBy("gram").count().where(F.col("count") > HOT).select(F.col("gram").alias("g"))
-    hot = materialise(hot, "anchor-hot")
-    if hot.head(1):
-        fetched = materialise(fetched, "anchor-bytes")
-        spans = spans.unionByName(_hot_spans(fetched.join(_sized(hot, 32), F.col("gram") == F.col("g"), "left_semi")))
-        fetched = fetched.join(_sized(hot, 32), F.col("gram") == F.col("g"), "left_anti")
-    spans = spans.unionByName(fetched.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, SPANS))
+    again = contexts.where("n > 1").select("gram", "context", "salts")
+    spans = whole(twice.where("not several")).unionByName(whole(_occurrences(twice.where("several"), again)))
+    spans = spans.unionByName(_tree_spans(_fetched(keyed, contexts), contexts.groupBy("gram").count()))
     return spans.groupBy("doc", "text_hash").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).mapInArrow(_merge, "doc long, text_hash long, spans binary")
 
 
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """The maximal repeats with all their occurrences: gram, number (both name a repeat),
+    doc_id, low and high (bytes of the text), one row per occurrence.
+
+    Repeats of ``LENGTH`` bytes or more are seen through a window of ``WIDTH`` bytes around
+    each anchor: a repeat that fills the window at an anchor is cut to it there, and goes on in
+    the groups of the next anchors; bytes covered by all groups are those that
+    ``dedup_passages`` removes. Texts that are alike whole, row by row, are occurrences of
+    their own. Nulls and empty texts have none; a null doc_id stays null. Grams of more
+    than ``HOT`` contexts are gathered here: a listing of all occurrences is as large.
+    """
+    prepare(docs.sparkSession)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    twice, contexts = _anchored(keyed)
+    tree = _fetched(keyed, contexts).withColumnRenamed("gram", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_scan_groups, GROUPS)
+    # a context that occurs twice is a repeat, too, as wide as the window
+    whole = contexts.where("n > 1").select("gram", F.lit(-1).alias("number"), "context", F.lit(LEFT).alias("low"), F.lit(LENGTH).alias("high"), "salts")
+    several = _occurrences(twice.where("several"), tree.join(contexts.select("gram", "context", "salts"), ["gram", "context"]).select(*whole.columns).unionByName(whole))
+    alone = twice.where("not several").select("*", F.lit(-1).alias("number"), F.lit(LEFT).alias("low"), F.lit(LENGTH).alias("high"))
+    columns = ["doc", "text_hash", "place", "gram", "context", "number", "low", "high"]
+    found = several.select(*columns).unionByName(alone.select(*columns))
+    sized = keyed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.octet_length("text").alias("n")).distinct()
+    joined = found.join(sized, (F.col("doc") == F.col("d")) & (F.col("text_hash") == F.col("t")))
+    low, high = F.greatest(F.col("place") - F.col("low"), F.lit(0)), F.least(F.col("place") + F.col("high"), F.col("n").cast("long"))
+    return joined.select("gram", F.when(F.col("number") < 0, F.xxhash64("context")).otherwise(F.col("number").cast("long")).alias("number"), F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), low.alias("low"), high.alias("high"))
+
+
 def _clipped(spans: bytes | None, n: int) -> list[tuple[int, int]]:
     if not spans:
         return []
@@ -386,7 +504,7 @@ def dedup_passages(docs: DataFrame, texts: bool = False) -> DataFrame:
     table gives an empty one.
     """
     prepare(docs.sparkSession)
-    keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64("text"))
+    keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
     spans = materialise(repeated_spans(keyed.select(F.col("__own").alias("doc_id"), F.col("__hash").alias("text_hash"), "text")), "spans")
     rows = list(docs.columns) if texts else ["doc_id", "text"]
     # about 48 bytes a document with a few spans
