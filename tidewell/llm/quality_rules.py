@@ -1,21 +1,26 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions alone.
 
 Counts are taken inside each row with array functions: no text is exploded or
-shuffled. Rules compare a rate with a cutoff. Cutoffs come from labelled holdouts: in a
-stratum, a cutoff that rejects ``k`` of ``n`` documents labelled good is certified if a
-binomial variable with the largest allowed rate of false rejections would be as small
-as ``k`` with probability at most ``delta`` divided by the number of tested strata x
-rules. The cutoffs of one rule are nested and tested in a fixed order, from loose to
-strict, up to the first that fails, so the steps of a grid share one level. So, with
-probability 1 - delta, no certified cutoff anywhere rejects more than that rate of good
-documents. The strictest certified cutoff is taken; a rule without one rejects nothing.
-
-A stratum with too few good labels to certify a cutoff that rejects none of them cannot
+shuffled. Rules compare a rate with a cutoff. All rules have grids of equally many
+cutoffs, and step by step, from loose to strict, all are tightened together; a step's
+verdict rejects a document if any rule does, so verdicts are nested.
+
+Steps are certified on labelled holdouts: in a stratum, a step whose verdict rejects
+``k`` of ``n`` documents labelled good is certified if a binomial variable with the largest
+allowed rate of false rejections would be as small as ``k`` with probability at most
+``delta`` divided by the number of tested strata. Steps are tested in their fixed order up
+to the first that fails, so the steps of a stratum share one level. So, with probability
+1 - delta, in no tested stratum does the verdict of all rules together reject more than
+that rate of good documents. The strictest certified step is taken; a stratum without one
+rejects nothing. A stratum needs log(tested strata / delta) / -log(1 - rate) good labels:
+299 if it is the only one, 368 of two, 437 of four.
+
+A stratum with too few good labels to certify a step that rejects none of them cannot
 be tested alone. All such strata are tested together as one; the bound then holds for
 them together, not for each. Which strata these are hangs on the numbers of good labels
 alone, never on what a rule makes of them, so the choice costs no further correction.
 
-Only counts by stratum, rule and step of the grid leave the rows, after partial
+Only counts by stratum and step leave the rows, after partial
 aggregation, so a stratum that holds most rows costs no more than a small one.
 """
 
@@ -43,6 +48,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "exclamations": ("n_exclamations / word_chars", [x / 100 for x in range(2, 41, 2)]),
     "repeats": ("n_repeat_words / n_words", [x / 100 for x in range(5, 101, 5)]),
 }
+STEPS = 20  # cutoffs of each grid
 MANY_STRATA = 10_000
 NOWHERE = 1 << 62  # more good labels than any stratum has
 
@@ -123,40 +129,40 @@ def step_of(value: Column, grid: list[float]) -> Column:
 def tested_alone(tally: DataFrame, rate: float, delta: float) -> tuple[int, int]:
     """The least number of good labels of a stratum that is tested alone, and how many
     strata are tested, the pool of all others being one: the most strata for which a
-    cutoff without false rejections would be certified. At most sqrt(2 x labels)
-    different numbers come to the driver."""
-    sizes = tally.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("n").alias("n"))
+    step without false rejections would be certified, in each and, if there is such a
+    choice, in the pool too. At most sqrt(2 x labels) different numbers come to the driver."""
+    sizes = tally.groupBy("stratum").agg(F.sum("n").alias("n"))
     by_size = sorted(((r["n"], r["strata"]) for r in sizes.groupBy("n").agg(F.count("*").alias("strata")).collect()), reverse=True)
-    total, alone, best = sum(m for _, m in by_size), 0, (NOWHERE, 1)
+    total, rest, alone, choices = sum(m for _, m in by_size), sum(n * m for n, m in by_size), 0, []
     for n, m in by_size:
-        alone += m
+        alone, rest = alone + m, rest - n * m
         tested = alone + (alone < total)
-        if n * log1p(-rate) <= log(delta / (tested * len(RULES))):
-            best = (n, tested)
-    return best
+        enough = lambda x, tested=tested: x * log1p(-rate) <= log(delta / tested)
+        if enough(n):
+            choices.append((bool(rest) and not enough(rest), n, tested))
+    return min(choices)[1:] if choices else (NOWHERE, 1)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, rate: float, delta: float) -> DataFrame:
-    """One row per stratum with a certified cutoff, its own or the pool's: the stratum and a map from rule to cutoff."""
+def certified(measured: DataFrame, labels: DataFrame, stratum: str, rate: float, delta: float) -> DataFrame:
+    """stratum, at: for each stratum with a certified step, its own or the pool's, the
+    number in the grids of the strictest cutoffs (0: the first)."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).distinct()
     held = measured.join(good, F.col("doc_id") == F.col("__id"))
-    steps = [F.struct(F.lit(r).alias("rule"), step_of(value_of(rule), grid).alias("step")) for r, (rule, grid) in RULES.items()]
-    tally = held.select(F.col(stratum).alias("stratum"), F.inline(F.array(*steps))).groupBy("stratum", "rule", "step").agg(F.count("*").alias("n"))
-    tally = materialise(tally, "quality-tally")  # from here on: at most strata x rules x (steps + 1) rows
+    # a verdict with the cutoffs ``at`` rejects the documents whose step is above it
+    step = F.greatest(*(step_of(value_of(rule), grid) for rule, grid in RULES.values()))
+    tally = held.select(F.col(stratum).alias("stratum"), step.alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    tally = materialise(tally, "quality-tally")  # from here on: at most strata x (steps + 1) rows
     least, tested = tested_alone(tally, rate, delta)
-    alone = F.sum("n").over(Window.partitionBy("stratum", "rule")) >= least
+    alone = F.sum("n").over(Window.partitionBy("stratum")) >= least
     sized = tally.withColumn("alone", alone).withColumn("unit", F.when(F.col("alone"), F.col("stratum")))
-    steps = sized.groupBy("alone", "unit", "rule", "step").agg(F.sum("n").alias("n"))
-    by_step = steps.groupBy("alone", "unit", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"), F.sum("n").alias("n"))
-    grids = F.create_map(*(x for r, (_, grid) in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, grid)))))
-    each = by_step.select("alone", "unit", "rule", "n", "by", F.posexplode(F.element_at(grids, F.col("rule"))).alias("at", "cutoff"))
+    by_step = sized.groupBy("alone", "unit", "step").agg(F.sum("n").alias("n")).groupBy("alone", "unit").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"), F.sum("n").alias("n"))
+    each = by_step.select("alone", "unit", "n", "by", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("at"))
     above = F.aggregate(F.map_values(F.map_filter(F.col("by"), lambda s, _: s > F.col("at"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    # k falls from strict to loose, so every cutoff looser than one that passes has passed before it
-    certified = each.select("alone", "unit", "rule", "cutoff", "n", above.alias("k")).where(log_binomial_cdf(F.col("k"), F.col("n"), rate) <= F.log(F.lit(delta / (tested * len(RULES)))))
-    strictest = certified.groupBy("alone", "unit", "rule").agg(F.min("cutoff").alias("cutoff"))
-    found = strictest.groupBy("alone", "unit").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    strata, found = sized.select("stratum", "alone", "unit").distinct().alias("s"), found.alias("f")
-    return strata.join(found, (F.col("s.alone") == F.col("f.alone")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select("stratum", "cutoffs")
+    # k falls from strict to loose, so every step looser than one that passes has passed before it
+    passed = each.select("alone", "unit", "at", "n", above.alias("k")).where(log_binomial_cdf(F.col("k"), F.col("n"), rate) <= F.log(F.lit(delta / tested)))
+    found = passed.groupBy("alone", "unit").agg(F.min("at").alias("at")).alias("f")
+    strata = sized.select("stratum", "alone", "unit").distinct().alias("s")
+    return strata.join(found, (F.col("s.alone") == F.col("f.alone")) & F.col("s.unit").eqNullSafe(F.col("f.unit"))).select("stratum", "at")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -165,9 +171,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float
     One row per row of ``docs``: doc_id, the five counts, base_failed (fewer than ten
     words, or more than a fifth of the words in repeated windows), kept (false if
     base_failed or if a rule's rate is above its stratum's certified cutoff) and
-    failed_rules. ``rate`` bounds the false rejections of each rule in each stratum that
-    has labels enough to be tested alone, and in all the others together; ``delta``
-    bounds the chance that any bound is broken.
+    failed_rules. ``rate`` bounds the false rejections of all rules together in each
+    stratum that has labels enough to be tested alone, and in all the others together;
+    ``delta`` bounds the chance that any bound is broken.
 
     A null or empty text has no words and fails. A null stratum is a stratum of its
     own. Labels that are null or not 1 count for nothing; in a stratum without a good
@@ -176,9 +182,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rate: float
     """
     spark = prepare(docs.sparkSession)
     measured = materialise(counts(docs.select("doc_id", F.col(stratum).alias("__stratum"), "text"), ["doc_id", "__stratum"]), "quality-counts")
-    found = materialise(cutoffs(measured, labels, "__stratum", rate, delta), "quality-cutoffs")
+    found = materialise(certified(measured, labels, "__stratum", rate, delta), "quality-cutoffs")
     few = len(found.select("stratum").head(MANY_STRATA + 1)) <= MANY_STRATA
     joined = measured.join(F.broadcast(found) if few else found, F.col("__stratum").eqNullSafe(F.col("stratum")), "left")
-    broken = [F.when(value_of(rule) > F.element_at("cutoffs", F.lit(r)), F.lit(r)) for r, (rule, _) in RULES.items()]
+    broken = [F.when(step_of(value_of(rule), grid) > F.col("at"), F.lit(r)) for r, (rule, grid) in RULES.items()]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return joined.select("doc_id", *COUNTS, base.alias("base_failed"), F.concat_ws(",", *broken).alias("failed_rules")).select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import html_extract, line_dedup, media, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
 from tidewell.llm.tokenizers import default_path
-from tidewell.session import new_path, prepare, spread, table
+from tidewell.session import materialise, new_path, prepare, spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +50,25 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document counted under two tokenizer versions, a batch each; the first
-    batch is committed twice, as by a writer that retries."""
-    docs = documents(spark, sf_dir)
+    """Totals of every document under two tokenizer versions, kept up to date through the
+    life of a store: a load whose languages are not known yet, its retry, a revision of all
+    rows by their languages, a withdrawal of all rows of one version, their return, and a
+    compaction between. The net result is one count of each document and version."""
+    versions = {v: default_path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rows = materialise(token_counts.counts_by(documents(spark, sf_dir), versions), "token-counts-rows")
+    unknown = rows.withColumn("lang", F.lit("und"))
+    second = rows.where(F.col("tokenizer") == "byte_bpe_multi_50k")
     rollup = token_counts.Rollup(prepare(spark), new_path(spark, "token-counts"))
-    for version in ("byte_bpe_50k", "byte_bpe_50k", "byte_bpe_multi_50k"):
-        rollup.commit(f"load-{version}", token_counts.inserted(token_counts.counts(docs, default_path(f"{version}.tiktoken"), version)))
+    for batch, changes in (
+        ("load", token_counts.inserted(unknown)),
+        ("load", token_counts.inserted(unknown)),
+        ("languages", token_counts.revised(unknown, rows)),
+        ("withdrawal", token_counts.deleted(second)),
+    ):
+        rollup.commit(batch, changes)
+    rollup.compact()
+    rollup.commit("languages", token_counts.revised(unknown, rows))
+    rollup.commit("return", token_counts.inserted(second))
     return rollup.totals()
 
 
@@ -90,7 +104,7 @@ FROM marked GROUP BY doc_id
 """
 
 #: For each rule its rate and grid, as in ``quality_rules.RULES``.
-_RULE_ROWS = ", ".join(f"('{r}', {x!r})" for r, (_, grid) in quality_rules.RULES.items() for x in grid)
+_RULE_ROWS = ", ".join(f"('{r}', {at}, {x!r})" for r, (_, grid) in quality_rules.RULES.items() for at, x in enumerate(grid))
 _RATES = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, coalesce({rule.replace(' / ', '::DOUBLE / nullif(')}, 0), 0) AS rate FROM counted" for r, (rule, _) in quality_rules.RULES.items())
 
 ORACLE_SQL["op3_quality_rules"] = rf"""
@@ -115,20 +129,34 @@ WITH docs AS (
          length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS n_upper,
          length(regexp_replace(d.text, '[^!]', '', 'g')) AS n_exclamations
   FROM docs d JOIN worded w USING (doc_id) JOIN lined l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
-), rates AS ({_RATES}), grids(rule, cutoff) AS (VALUES {_RULE_ROWS}
+), rates AS ({_RATES}), grids(rule, pos, cutoff) AS (VALUES {_RULE_ROWS}
+), above AS (
+  SELECT x.doc_id, x.lang, x.rule, count(g.cutoff) AS step
+  FROM rates x LEFT JOIN grids g ON g.rule = x.rule AND x.rate > g.cutoff GROUP BY ALL
+), good AS (
+  SELECT doc_id, lang, max(step) AS step FROM above
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id, lang
+), sizes AS (SELECT lang, count(*) AS n FROM good GROUP BY lang
+), choices AS (
+  SELECT n, tested, rest > 0 AND rest * ln(0.99) > ln(0.05 / tested) AS pool_fails FROM (
+    SELECT n, rest, alone + CASE WHEN rest > 0 THEN 1 ELSE 0 END AS tested FROM (
+      SELECT n, (SELECT count(*) FROM sizes b WHERE b.n >= a.n) AS alone, (SELECT coalesce(sum(b.n), 0) FROM sizes b WHERE b.n < a.n) AS rest FROM sizes a))
+  WHERE n * ln(0.99) <= ln(0.05 / tested)
+), chosen AS (SELECT n, tested FROM choices ORDER BY pool_fails, n LIMIT 1
+), units AS (
+  SELECT lang, n >= coalesce((SELECT n FROM chosen), 4611686018427387904) AS alone, CASE WHEN n >= coalesce((SELECT n FROM chosen), 4611686018427387904) THEN lang END AS unit FROM sizes
 ), tested AS (
-  SELECT x.lang, x.rule, g.cutoff, count(*) AS n, count(*) FILTER (WHERE x.rate > g.cutoff) AS k
-  FROM rates x JOIN grids g USING (rule)
-  WHERE x.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL
+  SELECT u.alone, u.unit, a.pos, count(*) AS n, count(*) FILTER (WHERE g.step > a.pos) AS k
+  FROM good g JOIN units u ON g.lang IS NOT DISTINCT FROM u.lang, (SELECT DISTINCT pos FROM grids) a GROUP BY ALL
 ), certified AS (
-  SELECT lang, rule, min(cutoff) AS cutoff FROM (
-    SELECT *, (SELECT count(DISTINCT lang) FROM tested) * (SELECT count(*) FROM grids) AS m FROM tested WHERE k < n * 0.01
-  ) t WHERE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))
-             FROM unnest(range(0, k + 1)) AS r(i)) <= 0.05 / m
-  GROUP BY lang, rule
+  SELECT alone, unit, min(pos) AS pos FROM (SELECT * FROM tested WHERE k < n * 0.01) t
+  WHERE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))
+         FROM unnest(range(0, k + 1)) AS r(i)) <= 0.05 / coalesce((SELECT tested FROM chosen), 1)
+  GROUP BY ALL
 ), broken AS (
   SELECT x.doc_id, string_agg(x.rule, ',' ORDER BY list_position(['symbols', 'capitals', 'exclamations', 'repeats'], x.rule)) AS failed_rules
-  FROM rates x JOIN certified c USING (lang, rule) WHERE x.rate > c.cutoff GROUP BY x.doc_id
+  FROM above x JOIN units u ON x.lang IS NOT DISTINCT FROM u.lang
+  JOIN certified c ON c.alone = u.alone AND c.unit IS NOT DISTINCT FROM u.unit WHERE x.step > c.pos GROUP BY x.doc_id
 ), based AS (
   SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(b.failed_rules, '') AS failed_rules
   FROM counted c LEFT JOIN broken b USING (doc_id)
