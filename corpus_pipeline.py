@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
 written as Parquet and read again as the next stage's docs. All but the last return
 the columns of documents; where a stage rewrites ``text``, ``n_chars`` follows it.
+
+In every stage null and empty texts are rows like others, rows with a null doc_id are
+kept apart from all others, repeated rows meet one fate, columns of any other name pass
+through (the last stage returns its own), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,28 +25,49 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half go."""
+    """Documents that score under one half go.
+
+    The labels of sf_dir train the model, save those of the held-out third. Null and empty
+    texts are scored by their statistics, which are zeros; rows with a null doc_id by their
+    text. Repeated rows have one score. Without labelled rows all score one half and stay.
+    """
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.keep_good(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines of three documents or more stay in one."""
+    """Lines of 20 characters or more in three documents or more stay in that of the largest doc_id.
+
+    A null text becomes an empty one. A null doc_id is the smallest; rows that share the
+    largest keep the line each. A document may lose all its lines; it stays, empty.
+    """
     return recounted(line_dedup.dedup_lines(docs, texts=True))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, 0.8)."""
+    """One document of each group of near copies stays (five words, 0.8): the least doc_id.
+
+    Texts without a word, and rows with a null doc_id, have no copies and stay. Rows that
+    share a doc_id go or stay by their own text; repeated rows go or stay together.
+    """
     return minhash.keep_one(docs)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur again go."""
+    """Strings of 200 bytes that occur again go, in whole characters, at every occurrence.
+
+    A null text stays null, an empty one empty. Repeated rows are occurrences of each
+    other, so texts of 200 bytes that stand twice go in both.
+    """
     return recounted(suffix_dedup.dedup_passages(docs, texts=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens."""
+    """Sequences of 1024 tokens, a row for each piece of a document.
+
+    A null or empty text is its closing token alone. Rows that share a doc_id, or a null
+    one, are documents of their own.
+    """
     return packing.pack(docs)
 
 
