@@ -79,7 +79,7 @@ def test_pages(spark):
     assert one(spark, pages.body_text(F.col("h")), h=html) == "Body text"
     assert one(spark, pages.description(F.col("h")), h=html) == "said"
     assert one(spark, pages.description(F.col("h")), h="<p>short</p>") is None
-    assert one(spark, pages.is_ascii_head(F.col("h")), h=html) and not one(spark, pages.is_ascii_head(F.col("h")), h="<title>日本</title>")
+    assert one(spark, pages.is_plain_head(F.col("h")), h=html) and not one(spark, pages.is_plain_head(F.col("h")), h="<title>日本</title>")
     assert one(spark, F.array_join(urls.links(F.col("h")), "|"), h='<a href="x?a=1">1</a><A class="c" href="/y">2</A><b href="no">') == "x?a=1|/y"
 
 
@@ -99,3 +99,35 @@ STEMS = {
 
 def test_stemmer():
     assert {w: stemmer.stem(w) for w in STEMS} == STEMS
+
+
+def test_plain_heads_character_by_character(spark):
+    allowed = {chr(c) for c in range(0x21, 0x7F)} - {"\\", "`"} | {"–"}
+    probes = [chr(c) for c in [*range(0x21, 0x180), 0x2010, 0x2013, 0x2014, 0x65E5]]
+    rows = spark.createDataFrame([(c, f"<title>a{c}</title>") for c in probes if c not in "<>"], "c string, h string")
+    got = {r.c for r in rows.where(pages.is_plain_head(F.col("h"))).collect()}
+    assert got == {c for c in probes if c in allowed and c not in "<>"}
+    assert not one(spark, pages.is_plain_head(F.col("h")), h="<title></title>")
+
+
+def test_pages_are_refused_by_their_headers(spark):
+    verdict = lambda encoding, language: one(spark, pages.accepted(F.col("e"), F.col("l")), e=encoding, l=language)
+    assert verdict("identity", "en-GB") and verdict("br", "en") and not verdict("gzip", "en") and not verdict("br", "fr")
+    rows = spark.createDataFrame([(None, None), ("gzip", None), (None, "de")], "e string, l string")
+    assert [r[0] for r in rows.select(pages.accepted(F.col("e"), F.col("l"))).collect()] == [True, False, False]
+
+
+def test_words_are_counted_in_the_row(spark):
+    from collections import Counter
+
+    from tidewell.plans import search
+
+    texts = [None, "", "the of a", "word", "zeta alpha zeta <b>beta</b> alpha zeta x1y", "same " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in search.frequencies(search.bags(docs)).collect():
+        got.setdefault(r.doc_id, {})[r.word] = r.f
+        assert r.f <= r.most
+    occurrences = Counter((r.doc_id, r.word) for r in search.terms(docs).collect())
+    assert {(i, w): n for i, own in got.items() for w, n in own.items()} == occurrences
+    assert got == {3: {"word": 1}, 4: {"zeta": 3, "alpha": 2, "beta": 1}, 5: {"same": 50}}

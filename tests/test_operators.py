@@ -195,3 +195,81 @@ def test_spread_and_release(spark):
     assert kept.count() == 100
     session.release(spark)
     assert session._WRITTEN == []
+
+
+@pytest.mark.parametrize(("f", "zero", "want"), [("sum", 10, 13), ("max", 10, 10), ("max", 0, 2), ("min", 0, 0), ("min", 9, 1), ("count", 5, 7)])
+def test_folds_start_at_their_zero(spark, f, zero, want):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "key string, value long")
+    assert A.fold_by_key(df, f, zero).first().value == want
+    assert A.fold(df, f, zero).first()[0] == want
+    assert A.fold(df.limit(0), f, zero).first()[0] == zero
+
+
+def test_concatenations_start_at_their_zero(spark):
+    df = pairs(spark, [("a", "y"), ("a", "x"), ("a", "x")])
+    assert A.fold_by_key(df, "concat", "z").first().value == "z,x,x,y"
+    assert A.fold_by_key(df, "concat_distinct", "").first().value == A.fold_by_key(df, "concat_distinct").first().value == "x,y"
+    assert A.fold(df, "concat", "z").first()[0] == "z,x,x,y" and A.fold(df.limit(0), "concat", "z").first()[0] == "z"
+
+
+def test_union_and_difference_of_bags(spark):
+    a, b = A.parallelize(spark, list("aabbc")), A.parallelize(spark, list("abd"))
+    assert values(A.union(a, b)) == sorted("aabbcabd")
+    assert values(A.subtract(a, b)) == ["a", "b", "c"] and values(A.subtract(a, b, distinct=True)) == ["c"]
+
+
+def test_blocks_of_hot_keys(spark):
+    rows = [("hot", f"v{i % 900}") for i in range(1800)] + [("cold", "x")]
+    got = A.blocked(pairs(spark, rows), "key", "value", 100).collect()
+    assert sorted(v for r in got for v in r.members if r.key == "hot") == sorted({v for k, v in rows if k == "hot"})
+    assert sum(r.key == "hot" for r in got) == 9 and max(len(r.members) for r in got) < 200
+    assert [(r.block, r.members) for r in got if r.key == "cold"] == [(0, ["x"])]
+
+
+def test_routes_wrap_around(spark):
+    keys = spark.createDataFrame([(k,) for k in ("a", "d", "dz", "m", "z")], "row_key string")
+    assert {r.row_key: r.worker for r in kv.route(keys, ["m", "d"]).collect()} == {"a": "m", "d": "d", "dz": "d", "m": "m", "z": "m"}
+
+
+def test_compaction_survives_a_crash_at_each_step(spark):
+    changes = spark.createDataFrame([("r", "c", "old", 1), ("r", "c", "new", 2)], kv.SCHEMA)
+    for step in range(4):
+        store = kv.Store(spark, new_path(spark, "kv"))
+        store.put("t", changes)
+        real, calls = store.fs, []
+
+        class Crashing:
+            def __getattr__(self, name, real=real, calls=calls, step=step):
+                def run(*args):
+                    if name in ("rename", "delete"):
+                        if len(calls) == step:
+                            raise OSError("crash")
+                        calls.append(name)
+                    return getattr(real, name)(*args)
+
+                return run
+
+        store.fs = Crashing()
+        with pytest.raises(OSError, match="crash"):
+            store.compact("t")
+        store.fs = real
+        assert store.tables() == ["t"]
+        assert [(r.value, r.seq) for r in kv.latest(store.changes("t")).collect()] == [("new", 2)]
+        store.compact("t")
+        assert store.tables() == ["t"] and store.changes("t").count() == 1
+
+
+def test_a_rename_that_fails_is_told(spark):
+    store = kv.Store(spark, new_path(spark, "kv"))
+    store.persist("t")
+
+    class Refusing:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return (lambda *_: False) if name == "rename" else getattr(self.real, name)
+
+    store.fs = Refusing(store.fs)
+    with pytest.raises(OSError, match="could not be renamed"):
+        store.rename("t", "u")

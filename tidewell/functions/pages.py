@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import strip_tags
 
-# What the head of an accepted page may consist of.
-ASCII_HEAD = r"^[a-zA-Z0-9~!@#$%^&*()_+=|\[\]{};':\",.<>/?\\\s–-]+$"
+#: Printable ASCII but for the backslash and the backtick, white space, and the en dash.
+PLAIN_HEAD = r"^[!-\[\]-_a-~\s–]+\z"
+#: Subtrees without text.
+NO_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
 
 
 def collapse(text: Column) -> Column:
@@ -22,7 +24,7 @@ def head_text(html: Column) -> Column:
 
 def body_text(html: Column) -> Column:
     """What is left without scripts, styles, comments, the head and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
+    bare = F.regexp_replace(html, NO_TEXT, " ")
     return collapse(strip_tags(F.regexp_replace(bare, r"\n", " ")))
 
 
@@ -33,9 +35,16 @@ def description(html: Column) -> Column:
     return F.when(meta != "", meta).when(F.length(text) >= 100, F.substring(text, 1, 100))
 
 
-def is_ascii_head(html: Column) -> Column:
-    return head_text(html).rlike(ASCII_HEAD)
+def is_plain_head(html: Column) -> Column:
+    """Whether the title has characters of PLAIN_HEAD only, and at least one."""
+    return head_text(html).rlike(PLAIN_HEAD)
 
 
 def is_english(content_language: Column) -> Column:
     return F.lower(content_language).startswith("en")
+
+
+def accepted(content_encoding: Column, content_language: Column) -> Column:
+    """Whether a page is read: not one sent as gzip, nor one in a stated language other
+    than English. Headers that are missing exclude nothing."""
+    return ~F.coalesce(content_encoding == "gzip", F.lit(False)) & F.coalesce(content_language.startswith("en"), F.lit(True))

@@ -156,23 +156,35 @@ ALGEBRA: dict[str, Callable[[str], Column]] = {
     "concat": lambda c: F.array_join(F.array_sort(F.collect_list(c)), ","),
     "concat_distinct": lambda c: F.array_join(F.array_sort(F.collect_set(c)), ","),
 }
+#: What a fold makes of its zero element and of the fold of the values.
+WITH_ZERO: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda zero, x: zero + F.coalesce(x, zero - zero),
+    "max": lambda zero, x: F.greatest(zero, x),
+    "min": lambda zero, x: F.least(zero, x),
+    "count": lambda zero, x: zero + x,
+    "concat": lambda zero, x: F.concat_ws(",", F.when(zero != "", zero), F.when(x != "", x)),
+    "concat_distinct": lambda zero, x: F.concat_ws(",", F.when(zero != "", zero), F.when(x != "", x)),
+}
 
 
 def _fold(value: str, f: str | Callable[[Column, Column], Column], zero) -> Column:
+    start = zero if isinstance(zero, Column) else F.lit(zero)
     if isinstance(f, str):
-        return ALGEBRA[f](value)
-    return F.aggregate(F.array_sort(F.collect_list(value)), zero if isinstance(zero, Column) else F.lit(zero), f)
+        folded = ALGEBRA[f](value)
+        return folded if zero is None else WITH_ZERO[f](start, folded)
+    return F.aggregate(F.array_sort(F.collect_list(value)), start, f)
 
 
 def fold_by_key(pairs: DataFrame, f: str | Callable[[Column, Column], Column], zero=None, value: str = "value") -> DataFrame:
-    """One row per key. ``f`` names an algebra of ALGEBRA, or is (accumulator, value) ->
-    accumulator, applied in ascending order of the values; the latter gathers a key's
-    values, so use it for keys of bounded size."""
+    """One row per key: ``zero`` folded with the key's values, once. ``f`` names an algebra
+    of ALGEBRA (``zero`` may then be left out), or is (accumulator, value) -> accumulator,
+    applied in ascending order of the values; the latter gathers a key's values, so use it
+    for keys of bounded size. A zero that is not empty comes first in a concatenation."""
     return pairs.groupBy("key").agg(_fold(value, f, zero).alias("value"))
 
 
 def fold(df: DataFrame, f: str | Callable[[Column, Column], Column], zero, value: str = "value") -> DataFrame:
-    """A single row; ``zero`` for an empty bag."""
+    """A single row: ``zero`` folded with all values, once; ``zero`` for an empty bag."""
     return df.agg(F.coalesce(_fold(value, f, zero), F.lit(zero)).alias("value"))
 
 
@@ -181,6 +193,16 @@ def group_by(df: DataFrame, key: Column | str) -> DataFrame:
     return df.select(_column(key).alias("key"), "value").groupBy("key").agg(ALGEBRA["concat"]("value").alias("value"))
 
 
+def blocked(df: DataFrame, key: str, member: str, size: int = 10_000) -> DataFrame:
+    """key, block, members: the distinct members of each key in sorted blocks of about
+    ``size``. Members are dealt to blocks by hash, as many as the key needs, so a key that
+    a third of all rows have is many rows, made by many tasks."""
+    pairs = df.select(key, member).distinct()
+    sizes = pairs.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / size).alias("__blocks"))
+    dealt = pairs.join(sizes, F.col(key) == F.col("__key")).withColumn("block", F.pmod(F.xxhash64(member), "__blocks").cast("int"))
+    return dealt.groupBy(key, "block").agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+
 def postings_by_count(df: DataFrame, key: str, doc: str, n: str) -> DataFrame:
     """key -> documents by falling count, then document."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), F.col(doc).alias("doc"))))
@@ -199,6 +221,17 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Elements of either, duplicates kept; columns are matched by name."""
+    return a.unionByName(b)
+
+
+def subtract(a: DataFrame, b: DataFrame, distinct: bool = False) -> DataFrame:
+    """Elements of ``a`` less those of ``b``: each copy in ``b`` takes one away or, with
+    ``distinct``, all of them, and what is left stands once."""
+    return a.subtract(b) if distinct else a.exceptAll(b)
+
+
 def top(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows of an order, which must be total for one result."""
     return df.orderBy(*order).limit(n)

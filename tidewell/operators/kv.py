@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "row_key string, col string, value string, seq long"
+NEW, DONE, OLD = ".writing", ".compacted", ".replaced"  # versions of a table while it is compacted
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -56,6 +57,14 @@ def page(changes: DataFrame, start: str = "", size: int = 10) -> DataFrame:
     return rows(changes.where(F.col("row_key") >= start).join(F.broadcast(keys), "row_key", "left_semi")).orderBy("row_key")
 
 
+def route(changes: DataFrame, workers: list[str]) -> DataFrame:
+    """The changes with ``worker``: the greatest worker id that is not above the row key;
+    keys below all ids go to the greatest id, whose range wraps around."""
+    ids = F.array(*map(F.lit, sorted(workers)))
+    below = F.array_max(F.filter(ids, lambda w: w <= F.col("row_key")))
+    return changes.withColumn("worker", F.coalesce(below, F.lit(max(workers))))
+
+
 class Store:
     """Named tables below one folder of a store that Spark reads."""
 
@@ -77,6 +86,7 @@ class Store:
         changes.select("row_key", "col", "value", "seq").repartitionByRange("row_key").sortWithinPartitions("row_key").write.mode("append").parquet(f"{self.folder}/{name}")
 
     def changes(self, name: str) -> DataFrame:
+        self._mend(name)
         if not self.fs.exists(self._path(name)):
             raise KeyError(name)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{name}")
@@ -86,18 +96,37 @@ class Store:
             raise KeyError(name)
         if self.fs.exists(self._path(to)):
             raise ValueError(f"table {to} exists")
-        self.fs.rename(self._path(name), self._path(to))
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"table {name} could not be renamed to {to}")
+
+    def path(self, name: str) -> str:
+        """Where a table is stored."""
+        return f"{self.folder}/{name}"
 
     def delete(self, name: str) -> None:
         if not self.fs.delete(self._path(name), True):
             raise KeyError(name)
 
     def tables(self) -> list[str]:
-        found = self.fs.listStatus(self._path("")) if self.fs.exists(self._path("")) else []
-        return sorted(x.getPath().getName() for x in found)
+        """Names of tables."""
+        found = [x.getPath().getName() for x in self.fs.listStatus(self._path(""))] if self.fs.exists(self._path("")) else []
+        return sorted({x.removesuffix(DONE) for x in found if not x.endswith((OLD, NEW))})
+
+    def _mend(self, name: str) -> None:
+        """Give a table its name back that a crash took between the renames of ``compact``."""
+        if not self.fs.exists(self._path(name)) and self.fs.exists(self._path(name + DONE)):
+            self.rename(name + DONE, name)
 
     def compact(self, name: str) -> None:
-        """Keep the last write of each cell only."""
-        latest(self.changes(name)).repartitionByRange("row_key").sortWithinPartitions("row_key").write.parquet(f"{self.folder}/{name}-compacted")
-        self.delete(name)
-        self.rename(f"{name}-compacted", name)
+        """Keep the last write of each cell only. The new version is whole, and named so,
+        before the old one is moved, and the old one goes last: a crash leaves one of them,
+        and the next reader mends its name."""
+        self._mend(name)
+        for leftover in (NEW, DONE, OLD):
+            if self.fs.exists(self._path(name + leftover)):
+                self.delete(name + leftover)
+        latest(self.changes(name)).repartitionByRange("row_key").sortWithinPartitions("row_key").write.parquet(self.path(name + NEW))
+        self.rename(name + NEW, name + DONE)
+        self.rename(name, name + OLD)
+        self.rename(name + DONE, name)
+        self.delete(name + OLD)

@@ -1,8 +1,8 @@
 """Link ranks by iteration (L. Page et al., 1998), not normalised.
 
 Ranks start at 1; a round gives each page 0.15 plus 0.85 of what its neighbours pass
-on; targets that are no pages get nothing. Edges are kept partitioned by source for all
-rounds, so a round shuffles only partial sums by target.
+on; targets that are no pages get nothing. Edges with their shares are written once, so
+executors may be lost; a round joins them with the ranks and shuffles partial sums by target.
 """
 
 from __future__ import annotations
@@ -34,20 +34,24 @@ def step(nodes: DataFrame, ranks: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def rounds(pages: DataFrame, edges: DataFrame, n: int, state: DataFrame | None = None) -> DataFrame:
-    """id, rank after n rounds, from the start or from a saved state (id, rank)."""
-    shares = links(edges).repartition("src").persist()
-    nodes = (pages if state is None else state).select("id").distinct().persist()
+    """id, rank after n rounds, from the start or from a saved state (id, rank). What does
+    not change from round to round is written once."""
+    shares = _by_source(edges)
+    nodes = materialise((pages if state is None else state).select("id").distinct(), "rank-nodes")
     ranks = state.select("id", "rank") if state is not None else start(nodes)
     for _ in range(n):
         ranks = step(nodes, ranks, shares)
     return ranks
 
 
+def _by_source(edges: DataFrame) -> DataFrame:
+    return materialise(links(edges), "rank-links")
+
+
 def converge(pages: DataFrame, edges: DataFrame, threshold: float = 0.01, most: int = 100) -> tuple[DataFrame, int]:
     """Ranks once no rank changes by ``threshold`` or more, and the number of rounds.
     Each round is written to the shared folder: lineage stays one round long."""
-    shares = links(edges).repartition("src").persist()
-    nodes = pages.select("id").distinct().persist()
+    shares, nodes = _by_source(edges), materialise(pages.select("id").distinct(), "rank-nodes")
     ranks, n = start(nodes), 0
     while n < most:
         before = ranks.select(F.col("id").alias("node"), F.col("rank").alias("previous"))
@@ -56,6 +60,4 @@ def converge(pages: DataFrame, edges: DataFrame, threshold: float = 0.01, most:
         change = ranks.join(before, F.col("id") == F.col("node")).agg(F.max(F.abs(F.col("rank") - F.col("previous")))).first()[0]
         if change is None or change < threshold:
             break
-    shares.unpersist()
-    nodes.unpersist()
     return ranks, n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, pages, stemmer, urls
@@ -12,7 +12,7 @@ from tidewell.functions import text as T
 from tidewell.operators import algebra as A
 from tidewell.operators import kv
 from tidewell.plans import frontier, graph, search
-from tidewell.session import new_path, prepare, spread, table
+from tidewell.session import materialise, new_path, prepare, spread, table
 from tidewell.sources import rowlog, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,45 @@ TERMS = rf"""SELECT doc_id, word FROM (
   WHERE length(word) BETWEEN 3 AND 17 AND word NOT IN ({STOPS})"""
 
 
+def _stem_steps() -> str:
+    """The published stemming steps as SQL: CTEs s0 (word, w) to s5 (word, w = the stem)
+    over a table ``stem_words`` (word) of lower-case letters."""
+    cut = lambda w, n: f"left({w}, length({w}) - {n})"
+
+    def shape(w: str) -> str:
+        marked = f"regexp_replace(regexp_replace(translate({w}, 'aeiou', 'VVVVV'), '[^Vy]', 'C', 'g'), '^y', 'C')"
+        for _ in range(4):  # y after a consonant is a vowel, after a vowel a consonant
+            marked = f"replace(replace({marked}, 'Cy', 'CV'), 'Vy', 'VC')"
+        return marked
+
+    measure = lambda w: f"len(regexp_extract_all({shape(w)}, 'V+C'))"
+    cvc = lambda w: f"({shape(w)} LIKE '%CVC' AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def rules(pairs: list[tuple[str, str]], least: int, extra: str = "TRUE") -> str:
+        ordered = sorted(pairs, key=lambda x: -len(x[0]))
+        cases = " ".join(f"WHEN w LIKE '%{a}' THEN {len(a)}" for a, _ in ordered)
+        ends = " ".join(f"WHEN w LIKE '%{a}' THEN '{b}'" for a, b in ordered)
+        return f"SELECT word, CASE WHEN n > 0 AND {measure('left(w, length(w) - n)')} > {least} AND {extra} THEN left(w, length(w) - n) || e ELSE w END AS w FROM (SELECT word, w, CASE {cases} ELSE 0 END AS n, CASE {ends} ELSE '' END AS e FROM {{}})"
+
+    fixed = f"CASE WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN regexp_matches({shape('w')}, 'C$') AND length(w) > 1 AND right(w, 1) = substring(w, length(w) - 1, 1) AND right(w, 1) NOT IN ('l', 's', 'z') THEN {cut('w', 1)} WHEN {measure('w')} = 1 AND {cvc('w')} THEN w || 'e' ELSE w END"
+    fours = " AND ".join(["(n <> 3 OR w NOT LIKE '%ion' OR regexp_matches(left(w, length(w) - n), '[st]$'))"])
+    parts = [
+        f"s0 AS (SELECT word, CASE WHEN regexp_matches(word, '(sses|ies)$') THEN {cut('word', 2)} WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN {cut('word', 1)} ELSE word END AS w FROM stem_words WHERE length(word) > 2)",
+        f"s1 AS (SELECT word, CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(cut('w', 3))} > 0 THEN {cut('w', 1)} ELSE w END WHEN w LIKE '%ed' AND {shape(cut('w', 2))} LIKE '%V%' THEN '<' || {cut('w', 2)} WHEN w LIKE '%ing' AND {shape(cut('w', 3))} LIKE '%V%' THEN '<' || {cut('w', 3)} ELSE w END AS w FROM s0)",
+        f"s2 AS (SELECT word, {fixed} AS w FROM (SELECT word, w[2:] AS w FROM s1 WHERE w LIKE '<%') UNION ALL SELECT word, w FROM s1 WHERE w NOT LIKE '<%')",
+        f"s3 AS (SELECT word, CASE WHEN w LIKE '%y' AND {shape(cut('w', 1))} LIKE '%V%' THEN {cut('w', 1)} || 'i' ELSE w END AS w FROM s2)",
+        f"s4 AS ({rules(list(stemmer.STEP_2.items()), 0).format('s3')})",
+        f"s5 AS ({rules(list(stemmer.STEP_3.items()), 0).format('s4')})",
+        f"s6 AS ({rules([(a, '') for a in stemmer.STEP_4], 1, fours).format('s5')})",
+        f"s7 AS (SELECT word, CASE WHEN w LIKE '%e' AND ({measure(cut('w', 1))} > 1 OR {measure(cut('w', 1))} = 1 AND NOT {cvc(cut('w', 1))}) THEN {cut('w', 1)} ELSE w END AS w FROM s6)",
+        f"stems AS (SELECT word, CASE WHEN w LIKE '%ll' AND {measure('w')} > 1 THEN {cut('w', 1)} ELSE w END AS stem FROM s7 UNION ALL SELECT word, word FROM stem_words WHERE length(word) <= 2)",
+    ]
+    return ", ".join(parts)
+
+
+SQL_STEMS = _stem_steps()
+
+
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
 
@@ -94,52 +133,63 @@ SQL_NORM = f"{SQL_W}, norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w G
 SAID = "que thethe pour oder que"
 
 
-def _weights(spark, sf):
-    docs = table(spark, sf, "documents")
-    counts = search.frequencies(search.terms(docs)).persist()
-    idf = search.inverse(counts, docs.count())
-    return search.weights(search.augmented(counts), idf), idf
+def _bags(spark, sf, window: bool = False) -> DataFrame:
+    return search.bags(spread(table(spark, sf, "documents")), window)
+
+
+def _index(spark, sf) -> search.Index:
+    return search.Index(search.frequencies(_bags(spark, sf)), table(spark, sf, "documents").count())
+
+
+def _idf(spark, sf) -> DataFrame:
+    return search.inverse(search.frequencies(_bags(spark, sf)), table(spark, sf, "documents").count())
 
 
 @query(f"WITH {SQL_F}, {SQL_IDF} SELECT word, df, round(idf, 6) AS idf FROM idf")
 def idf(spark, sf):
-    docs = table(spark, sf, "documents")
-    out = search.inverse(search.frequencies(search.terms(docs)), docs.count())
-    return out.select("word", "df", F.round("idf", 6).alias("idf"))
+    return _idf(spark, sf).select("word", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {SQL_TF} SELECT doc_id, word, round(tf, 6) AS tf FROM tf")
 def augmented_tf(spark, sf):
-    return search.augmented(search.frequencies(search.terms(table(spark, sf, "documents")))).select("doc_id", "word", F.round("tf", 6).alias("tf"))
+    return search.augmented(search.frequencies(_bags(spark, sf))).select("doc_id", "word", F.round("tf", 6).alias("tf"))
 
 
 @query(f"WITH {SQL_TF} SELECT word, string_agg(doc_id || ' ' || CAST(round(tf, 4) AS DECIMAL(6, 4)), ',' ORDER BY doc_id) AS postings FROM tf GROUP BY word")
 def tf_postings(spark, sf):
-    tf = search.augmented(search.frequencies(search.terms(table(spark, sf, "documents"))))
+    tf = search.augmented(search.frequencies(_bags(spark, sf)))
     entries = F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(" ", "doc_id", F.round("tf", 4).cast("decimal(6,4)")).alias("x"))))
     return tf.groupBy("word").agg(F.array_join(F.transform(entries, lambda e: e["x"]), ",").alias("postings"))
 
 
+def _weights(spark, sf) -> DataFrame:
+    return search.weights(search.augmented(search.frequencies(_bags(spark, sf))), _idf(spark, sf))
+
+
 @query(f"WITH {SQL_W} SELECT doc_id, word, round(w, 6) AS w FROM w")
 def tfidf_weights(spark, sf):
-    return _weights(spark, sf)[0].select("doc_id", "word", F.round("w", 6).alias("w"))
+    return _weights(spark, sf).select("doc_id", "word", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {SQL_NORM} SELECT doc_id, round(norm, 6) AS norm FROM norms")
 def tfidf_norm(spark, sf):
-    return search.norms(_weights(spark, sf)[0]).select("doc_id", F.round("norm", 6).alias("norm"))
+    return search.norms(_weights(spark, sf)).select("doc_id", F.round("norm", 6).alias("norm"))
 
 
-SQL_SEARCH = f"""WITH {SQL_NORM}, said AS (SELECT unnest(string_split('{SAID}', ' ')) AS word),
-q AS (SELECT word, times, (0.4::DOUBLE + 0.6::DOUBLE * times / (SELECT max(c) FROM (SELECT count(*) AS c FROM said GROUP BY word))) * idf AS q
-      FROM (SELECT word, count(*) AS times FROM said GROUP BY word) JOIN idf USING (word)),
-scores AS (SELECT doc_id, sum(w * q * times) / (any_value(norm) * (SELECT sqrt(sum(times * q * q)) FROM q)) AS score FROM w JOIN q USING (word) JOIN norms USING (doc_id) GROUP BY doc_id),
+def _search_sql(before: str, said: str = "said", ranked: str = "") -> str:
+    """The search over CTEs w, idf and norms, for the words of ``said`` (word)."""
+    return f"""WITH {before},
+q AS (SELECT word, times, (0.4::DOUBLE + 0.6::DOUBLE * times / (SELECT max(c) FROM (SELECT count(*) AS c FROM {said} GROUP BY word))) * idf AS q
+      FROM (SELECT word, count(*) AS times FROM {said} GROUP BY word) JOIN idf USING (word)),
+scores AS (SELECT doc_id, sum(w * q * times) / (any_value(norm) * (SELECT sqrt(sum(times * q * q)) FROM q)) AS score FROM w JOIN q USING (word) JOIN norms USING (doc_id) {ranked} GROUP BY doc_id),
 best AS (SELECT doc_id, round(score, 6) AS score FROM scores WHERE score <> 0 ORDER BY scores.score DESC, doc_id LIMIT 21)"""
 
 
+SQL_SEARCH = _search_sql(f"{SQL_NORM}, said AS (SELECT unnest(string_split('{SAID}', ' ')) AS word)")
+
+
 def _search(spark, sf):
-    w, idf_table = _weights(spark, sf)
-    return search.search(w, search.norms(w), search.query_weights(spark, SAID, idf_table))
+    return _index(spark, sf).search(search.query_terms(spark, SAID))
 
 
 @query(f"{SQL_SEARCH} SELECT doc_id, score FROM best")
@@ -161,24 +211,59 @@ def result_lookup(spark, sf):
 
 @query(f"WITH {SQL_F}, vocabulary AS (SELECT word FROM f GROUP BY word HAVING count(*) >= 5) SELECT doc_id, word, f FROM f WHERE word IN (SELECT word FROM vocabulary)")
 def vocabulary_filter(spark, sf):
-    counts = search.frequencies(search.terms(table(spark, sf, "documents")))
-    return A.semi_join(counts, counts.groupBy("word").count().where("count >= 5"), "word").select("doc_id", "word", "f")
+    counts = search.frequencies(_bags(spark, sf)).select("doc_id", "word", "f")
+    return T.in_vocabulary(counts, counts.groupBy("word").count().where("count >= 5")).select("doc_id", "word", "f")
 
 
-@query()
+# stems of the windowed texts: doc_id, word (the stem), f
+SQL_WINDOW_TERMS = TERMS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN length(text) <= 1388 THEN left(text, 5000) ELSE substring(text, 1389, 3612) END AS text FROM documents))")
+SQL_STEM_F = f"""window_words AS MATERIALIZED (SELECT doc_id, word, count(*) AS f FROM ({SQL_WINDOW_TERMS}) GROUP BY doc_id, word),
+stem_words AS (SELECT DISTINCT word FROM window_words), {SQL_STEMS},
+all_stems AS MATERIALIZED (SELECT doc_id, stem AS word, sum(f)::BIGINT AS f FROM window_words JOIN stems USING (word) WHERE stem NOT IN ({STOPS}) GROUP BY doc_id, stem),
+vocabulary AS (SELECT word FROM all_stems GROUP BY word HAVING count(*) >= 5),
+f AS (SELECT * FROM all_stems WHERE word IN (SELECT word FROM vocabulary))"""
+SQL_STEM_TF = f"{SQL_STEM_F}, tf AS (SELECT doc_id, word, 0.4::DOUBLE + 0.6::DOUBLE * f / max(f) OVER (PARTITION BY doc_id) AS tf FROM f)"
+
+
+@query(f"WITH words AS (SELECT word, count(*) AS n FROM ({TERMS}) GROUP BY word), stem_words AS (SELECT word FROM words), {SQL_STEMS} SELECT stem, sum(n)::BIGINT AS n FROM words JOIN stems USING (word) GROUP BY stem")
 def stem_counts(spark, sf):
-    terms = search.terms(table(spark, sf, "documents")).groupBy("word").agg(F.count("*").alias("n"))
-    return stemmer.with_stems(terms).groupBy("stem").agg(F.sum("n").alias("n"))
+    counts = search.frequencies(_bags(spark, sf)).groupBy("word").agg(F.sum("f").alias("n"))
+    return stemmer.with_stems(counts).groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-@query()
+def _stems(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Counts of the windowed texts' stems that are in the corpus vocabulary, and this."""
+    stems = materialise(search.stemmed_bags(spread(table(spark, sf, "documents"))).select("doc_id", "word", "f"), "stems")
+    vocabulary = materialise(stems.groupBy("word").count().where("count >= 5").select("word"), "vocabulary")
+    kept = T.in_vocabulary(stems, vocabulary)
+    most = kept.groupBy(F.col("doc_id").alias("d")).agg(F.max("f").alias("most"))
+    return kept.join(most, F.col("doc_id") == F.col("d")).select("doc_id", "word", "f", "most"), vocabulary
+
+
+@query(f"WITH {SQL_STEM_TF} SELECT doc_id, word, round(tf, 6) AS tf FROM tf")
 def stemmed_tf_index(spark, sf):
     """The text window's stems that are in the corpus vocabulary, with augmented frequency."""
-    prepare(spark)
-    counts = search.frequencies(search.terms(table(spark, sf, "documents"), window=True))
-    stems = stemmer.with_stems(counts).groupBy("doc_id", F.col("stem").alias("word")).agg(F.sum("f").alias("f")).where(~T.is_stop_word(F.col("word")))
-    vocabulary = stems.groupBy("word").count().where("count >= 5")
-    return search.augmented(A.semi_join(stems, vocabulary, "word"))
+    return search.augmented(_stems(spark, sf)[0]).select("doc_id", "word", F.round("tf", 6).alias("tf"))
+
+
+STEM_SAID = "Tioning, the bleing onones eriner threing thties, nowhereinworld ersting tioned thouing"
+SQL_STEM_SAID = "stem_words AS (SELECT DISTINCT word FROM window_words UNION SELECT unnest({words}))".format(words=[w.lower() for w in STEM_SAID.replace(",", "").split()])
+SQL_STEM_SEARCH = _search_sql(
+    SQL_STEM_TF.replace("stem_words AS (SELECT DISTINCT word FROM window_words)", SQL_STEM_SAID)
+    + f", {SQL_IDF}, w AS (SELECT doc_id, word, tf * idf AS w FROM tf JOIN idf USING (word)), norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)"
+    + f", said AS (SELECT stem AS word FROM (SELECT unnest({[w.lower() for w in STEM_SAID.replace(',', '').split()]}) AS word) JOIN stems USING (word) WHERE stem NOT IN ({STOPS}) AND stem IN (SELECT word FROM vocabulary))",
+    ranked="JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)",
+)
+
+
+@query(f"{SQL_STEM_SEARCH} SELECT doc_id, score FROM best")
+def search_stemmed(spark, sf):
+    """Search on stems of the vocabulary, on both sides, among documents that have a rank
+    (here: a label)."""
+    counts, vocabulary = _stems(spark, sf)
+    index = search.Index(counts, table(spark, sf, "documents").count())
+    said = materialise(search.query_terms(spark, STEM_SAID, stemmed=True, vocabulary=vocabulary), "said")
+    return index.search(said, ranked=table(spark, sf, "labels")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 # --- text functions -----------------------------------------------------------------
@@ -315,9 +400,23 @@ def page_head(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.head_text(F.col("html")).alias("head"))
 
 
-@query()
+SQL_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+SQL_BODY = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'), '\n', ' ', 'g'), '<.*?>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""SELECT page_id, regexp_matches({SQL_TITLE}, '^[!-\[\]-_a-~\s–]+\z') AS plain_head,
+  CASE WHEN meta <> '' THEN meta WHEN length(body) >= 100 THEN left(body, 100) END AS description
+FROM (SELECT page_id, html, {SQL_BODY} AS body, regexp_extract(html, '(?is)<meta\s[^>]*name="[^"]*description"[^>]*content="([^"]*)"', 1) AS meta FROM pages)""")
 def page_description(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.description(F.col("html")).alias("description"), pages.is_ascii_head(F.col("html")).alias("ascii_head"))
+    return table(spark, sf, "pages").select("page_id", pages.description(F.col("html")).alias("description"), pages.is_plain_head(F.col("html")).alias("plain_head"))
+
+
+@query("SELECT doc_id, NOT (source = 'forum') AND (lang IS NULL OR starts_with(lang, 'en')) AS accepted FROM documents")
+def header_filter(spark, sf):
+    """Which pages are read, by their headers: documents of one source stand for those
+    sent as gzip."""
+    encoding = F.when(F.col("source") == "forum", "gzip")
+    return table(spark, sf, "documents").select("doc_id", pages.accepted(encoding, F.col("lang")).alias("accepted"))
 
 
 @query(f"SELECT DISTINCT link AS url FROM ({SQL_RESOLVED}) WHERE link <> '' AND link <> url AND link <> 'relative' EXCEPT SELECT {SQL_NORMAL} FROM ({SQL_PARTS})")
@@ -326,14 +425,31 @@ def frontier_step(spark, sf):
     return frontier.step(web, web.select(urls.normalize(F.col("url")).alias("url")))
 
 
-@query()
+@query("""WITH RECURSIVE reached(id, round) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0
+  UNION SELECT p.page_id, r.round + 1 FROM reached r JOIN pages p ON p.page_id IN (2 * r.id + 1, 2 * r.id + 2))
+SELECT 'http://site.example:80/a/' || id || '/index.html' AS url, round FROM reached""")
 def frontier_loop(spark, sf):
-    """Reachability over a small site: each page links to the next four by number."""
-    web = table(spark, sf, "nation").select(F.format_string("http://site.example/%d.html", "n_nationkey").alias("url"), F.concat(*(F.format_string('<a href="%d.html">x</a> ', F.col("n_nationkey") * 2 + k) for k in range(1, 3))).alias("html"))
-    return frontier.crawl(web, web.where("url like '%/0.html'"))
+    """All pages as one site: page n has, beside its own links, relative links up and down
+    to the pages 2n+1 and 2n+2; round by round from page 0."""
+    link = lambda k: F.format_string('<a href="../%d/x/../index.html#top">more</a>', F.col("page_id") * 2 + k)
+    web = table(spark, sf, "pages").select(F.format_string("http://site.example:80/a/%d/index.html", "page_id").alias("url"), F.concat(F.coalesce("html", F.lit("")), link(1), link(2)).alias("html"))
+    return frontier.crawl(web, web.where("url like '%/a/0/index.html'"))
 
 
-@query()
+SQL_FOLDERS = f"SELECT page_id, protocol || '://' || host || ':' || coalesce(port, CASE WHEN protocol = 'https' THEN '443' ELSE '80' END) AS front, list_filter(string_split(regexp_extract(path, '^(.*/)', 1), '/'), lambda x: x <> '') AS folders FROM ({SQL_PARTS})"
+
+
+@query(f"""SELECT page_id, raw, front || '/' || array_to_string(folders[:len(folders) - up] || [leaf], '/') AS link
+FROM ({SQL_FOLDERS}), (VALUES ('../up.html', 1, 'up.html'), ('same.html#x', 0, 'same.html'), ('a/../../b.html', 1, 'b.html'), ('../../far.html', 2, 'far.html')) AS r(raw, up, leaf)
+WHERE up <= len(folders)""")
+def url_resolve_relative(spark, sf):
+    """Relative links of every page, dots resolved; those that lead above the root are none."""
+    raws = F.array(*map(F.lit, ["../up.html", "same.html#x", "a/../../b.html", "../../far.html"]))
+    out = table(spark, sf, "pages").select("page_id", "url", F.explode(raws).alias("raw"))
+    return out.select("page_id", "raw", urls.resolve(F.col("raw"), F.col("url")).alias("link")).where("link is not null")
+
+
+@query(f"SELECT page_id, {SQL_BODY} AS text FROM pages")
 def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.body_text(F.col("html")).alias("text"))
 
@@ -360,10 +476,9 @@ def _rounds_sql(n: int) -> str:
 
 def co_ordered(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Parts that follow each other in an order: pages (id) and edges."""
-    from pyspark.sql import Window
-
     within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(within).alias("dst")).where("dst is not null and src <> dst").distinct().persist()
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(within).alias("dst")).where("dst is not null and src <> dst").distinct()
+    edges = materialise(edges, "co-ordered")
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges
 
 
@@ -382,7 +497,16 @@ def pagerank_resumed(spark, sf):
     return graph.rounds(nodes, edges, 2, state=spark.read.parquet(path)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+def _converged_sql(most: int = 40) -> str:
+    """Rounds up to the first in which no rank changes by 0.01 or more."""
+    steps = [f"r{k} AS MATERIALIZED (SELECT n.id, 0.15 + coalesce(s.sum, 0) AS rank FROM nodes n LEFT JOIN (SELECT e.dst AS id, sum(r.rank * 0.85::DOUBLE / d.d) AS sum FROM edges e JOIN deg d USING (src) JOIN r{k - 1} r ON r.id = e.src GROUP BY e.dst) s USING (id))" for k in range(1, most + 1)]
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.rank - b.rank)) AS change FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, most + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in range(1, most + 1))
+    edges = SQL_EDGES.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    return f"WITH {', '.join([edges, *steps])}, done AS (SELECT min(k) AS k FROM ({changes}) WHERE change < 0.01) SELECT id, round(rank, 6) AS rank FROM ({ranks}) WHERE k = (SELECT k FROM done)"
+
+
+@query(_converged_sql())
 def pagerank_converged(spark, sf):
     return graph.converge(*co_ordered(spark, sf))[0].select("id", F.round("rank", 6).alias("rank"))
 
@@ -430,6 +554,41 @@ def result_page(spark, sf):
     return A.page(table(spark, sf, "events").select("event_id", "value"), ["event_id"], 2)
 
 
+@query("SELECT n_name AS value FROM nation")
+def take_all(spark, sf):
+    """At most as many elements as asked for: all of a bag that has fewer."""
+    return spark.createDataFrame(tables.take(table(spark, sf, "nation").select(F.col("n_name").alias("value")), 100), "value string")
+
+
+@query("SELECT string_agg(n_name || ';', '' ORDER BY n_name) AS value FROM nation")
+def output_text(spark, sf):
+    """The strings of a result, in its order, as one."""
+    lines = table(spark, sf, "nation").orderBy("n_name").select(F.concat("n_name", F.lit(";")).alias("value"))
+    return spark.createDataFrame([(tables.output(lines),)], "value string")
+
+
+@query("SELECT 6 AS n_partitions, count(*) AS n FROM events")
+def concurrency_level(spark, sf):
+    dealt = tables.with_parallelism(table(spark, sf, "events").select("event_id"), 6)
+    return dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.count("*").cast("int").alias("n_partitions"), F.sum("count").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_bags(spark, sf):
+    return A.union(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_bags(spark, sf):
+    return A.subtract(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '2%'")
+def except_distinct(spark, sf):
+    of = lambda p: table(spark, sf, "orders").where(f"o_orderpriority like '{p}%'").select(F.col("o_custkey").alias("k"))
+    return A.subtract(of(1), of(2), distinct=True)
+
+
 @query("SELECT count(*) AS n FROM events")
 def count_elements(spark, sf):
     return tables.count(table(spark, sf, "events"))
@@ -536,6 +695,23 @@ def fold_by_key_sum(spark, sf):
     return A.fold_by_key(pairs, "sum").select("key", F.round("value", 2).alias("value"))
 
 
+@query("SELECT l_returnflag AS key, round(10 + sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1")
+def fold_by_key_sum_zero(spark, sf):
+    """A fold that starts at ten."""
+    pairs = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_quantity").alias("value"))
+    return A.fold_by_key(pairs, "sum", 10.0).select("key", F.round("value", 2).alias("value"))
+
+
+@query("SELECT event_type AS key, greatest(max(value), 50) AS value FROM events GROUP BY 1")
+def fold_by_key_max_zero(spark, sf):
+    return A.fold_by_key(table(spark, sf, "events").select(F.col("event_type").alias("key"), "value"), "max", 50.0)
+
+
+@query("SELECT greatest(max(value), 1e9::DOUBLE) AS value FROM events")
+def fold_max_zero(spark, sf):
+    return A.fold(table(spark, sf, "events"), "max", 1e9)
+
+
 @query("SELECT event_type AS key, max(value) AS value FROM events GROUP BY 1")
 def fold_by_key_max(spark, sf):
     return A.fold_by_key(table(spark, sf, "events").select(F.col("event_type").alias("key"), "value"), "max")
@@ -572,6 +748,12 @@ def group_by_concat(spark, sf):
     return A.group_by(table(spark, sf, "nation").select(F.col("n_name").alias("value")), F.substring("value", 1, 1))
 
 
+@query("SELECT event_type AS key, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def posting_blocks(spark, sf):
+    """Members of hot keys in blocks of a bounded size, counted back together."""
+    return A.blocked(table(spark, sf, "events"), "event_type", "user_id", 50).groupBy(F.col("event_type").alias("key")).agg(F.sum(F.size("members")).alias("n"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def distinct(spark, sf):
     return A.distinct(table(spark, sf, "events").select("user_id", "event_type"))
@@ -654,6 +836,23 @@ def kv_list_tables(spark, sf):
     return counted[0].union(counted[1])
 
 
+@query("SELECT 'index' AS name, count(DISTINCT user_id) AS n FROM events")
+def kv_delete(spark, sf):
+    """Of two tables one is deleted; the other is there, under its physical path."""
+    store = kv.Store(spark, new_path(spark, "kv"))
+    for name in ("crawl", "index"):
+        store.put(name, _changes(spark, sf))
+    store.delete("crawl")
+    (left,) = store.tables()
+    return kv.count_rows(spark.read.parquet(store.path(left))).select(F.lit(left).alias("name"), "n")
+
+
+@query("SELECT row_key, CASE WHEN row_key >= '7' THEN '7' WHEN row_key >= '4' THEN '4' WHEN row_key >= '2' THEN '2' ELSE '7' END AS worker FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS row_key FROM events)")
+def kv_route(spark, sf):
+    """The worker that owns each key: ranges of keys, the last of which wraps around."""
+    return kv.route(_changes(spark, sf).select("row_key").distinct(), ["4", "2", "7"]).select("row_key", "worker")
+
+
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS row_key, n_name AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
 def row_log(spark, sf):
     """Rows written in the row-log format by executors, read again as change rows."""
