@@ -77,43 +77,50 @@ def distinct_salt(hashes: np.ndarray) -> int:
     return salt
 
 
+DIRECT = np.uint32(1 << 31)  # a seed from here on is a slot
+
+
 def build_mph(keys: np.ndarray, load: int = 4) -> np.ndarray:
     """Seeds, one per bucket, that send the distinct uint64 keys one-to-one to
-    0..n-1. Buckets are placed largest first; the seed of a bucket is the least that
-    sends its keys to free slots."""
+    0..n-1. Buckets are placed largest first, all of one size together: in each round
+    those that are left try the same seed, and of buckets that want one free slot the first
+    gets it. A bucket of one key is given a free slot outright."""
     n = len(keys)
     buckets = max(1, -(-n // load))
-    seeds = np.zeros(buckets, np.uint32)
+    seeds, free = np.zeros(buckets, np.uint32), np.ones(n, bool)
     bucket = (mix(keys, 0) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    free = np.ones(n, bool)
-    tries = np.arange(1, 65, dtype=np.uint64)
-    for b in np.argsort(-np.diff(begins), kind="stable"):
-        own = keys[order[begins[b] : begins[b + 1]]]
-        if not len(own):
-            break
-        first = 0
-        while True:
-            slots = (mix(own[None, :], (tries + np.uint64(first))[:, None]) % np.uint64(n)).astype(np.int64)
-            good = free[slots].all(axis=1)
-            if len(own) > 1:
-                s = np.sort(slots, axis=1)
-                good &= (s[:, 1:] != s[:, :-1]).all(axis=1)
-            if good.any():
-                k = int(good.argmax())
-                seeds[b] = first + k + 1
-                free[slots[k]] = False
-                break
-            first += len(tries)
-            if first > 64 and first < 1 << 20:
-                tries = np.arange(1, 4097, dtype=np.uint64)
+    begins = np.searchsorted(bucket[order], np.arange(buckets))
+    sizes = np.bincount(bucket, minlength=buckets)
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        own = keys[order[begins[left][:, None] + np.arange(size)]]
+        seed = 0
+        while len(left):
+            seed += 1
+            slots = (mix(own, seed) % np.uint64(n)).astype(np.int64)
+            apart = np.sort(slots, axis=1)
+            fit = np.flatnonzero(free[slots].all(axis=1) & (apart[:, 1:] != apart[:, :-1]).all(axis=1))
+            if len(fit):
+                wanted = slots[fit].ravel()
+                _, first = np.unique(wanted, return_index=True)
+                granted = np.zeros(len(wanted), bool)
+                granted[first] = True
+                won = fit[granted.reshape(-1, size).all(axis=1)]
+                seeds[left[won]] = seed
+                free[slots[won]] = False
+                stay = np.ones(len(left), bool)
+                stay[won] = False
+                left, own = left[stay], own[stay]
+    single = np.flatnonzero(sizes == 1)
+    seeds[single] = np.flatnonzero(free).astype(np.uint32) | DIRECT
     return seeds
 
 
 def slot_of(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
-    bucket = (mix(keys, 0) % np.uint64(len(seeds))).astype(np.int64)
-    return (mix(keys, seeds[bucket].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    seed = seeds[(mix(keys, 0) % np.uint64(len(seeds))).astype(np.int64)]
+    slots = (mix(keys, seed.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return np.where(seed >= DIRECT, np.minimum(seed & ~DIRECT, n - 1), slots)
 
 
 class Shard:
@@ -289,7 +296,7 @@ def _apply_drops(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.
         yield _outcome(batch.select([c for c in batch.schema.names if c != "__drops"]), drops, texts)
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, texts: bool = False, broadcast_bytes: int = 48 << 20, keys_per_shard: int = 100_000, rows_per_salt: int = 2_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, texts: bool = False, broadcast_bytes: int = 48 << 20, keys_per_shard: int = 50_000, rows_per_salt: int = 2_000_000) -> DataFrame:
     """Drop the lines whose key is in ``least_docs`` documents or more, save in the
     largest doc_id that holds it.
 
