@@ -40,7 +40,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types o
 UNIGRAM, BPE = 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LONG = 192  # longer words of BPE models are merged one at a time, by a heap
+OVER = -2  # stands after the first piece of a path
 NEVER = 1 << 40  # later than any merge
+LEADING = np.uint64(44)  # all but the leading 20 bits of a hash
 CACHE = 400_000
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -124,6 +126,9 @@ class Model:
         self.keys, self.key_ids = hashes[order], np.array(usable, np.int32)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        leading = (self.keys >> LEADING).astype(np.int64)
+        count = np.bincount(leading, minlength=1 << 20)
+        self.leading, self.first, self.most = count > 0, (np.cumsum(count) - count).astype(np.int32), int(count.max())
         self.key_scores = np.array([pieces[i][1] for i in self.key_ids], np.float32)
         self.floor = np.float32(self.key_scores.min() - 10)
         self.raw = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else b" \xe2\x81\x87 " if p[2] == UNKNOWN else p[0].encode() for p in pieces]
@@ -150,7 +155,7 @@ class Model:
                 continue
             h, power = prefix_hashes(word_matrix([self.pieces[i][0] for i in ids])), powers(length)
             for k in range(1, length):
-                a, b = self.probe(h[:, k])[0], self.probe(h[:, length] - h[:, k] * power[length - k])[0]
+                a, b = self.ids_of(h[:, k]), self.ids_of(h[:, length] - h[:, k] * power[length - k])
                 row = np.flatnonzero((a >= 0) & (b >= 0))
                 row = row[(self.rank[a[row]] < self.rank[ids[row]]) & (self.rank[b[row]] < self.rank[ids[row]])]
                 row = row[self.apart(a[row], b[row], self.rank[ids[row]])]
@@ -172,8 +177,9 @@ class Model:
         x, y, until = a[live].astype(np.int64), b[live].astype(np.int64), np.broadcast_to(until, len(a))[live]
         power = powers(self.longest)
         while len(live):
-            joint = self.probe(self.hash_of[x] * power[self.length_of[y]] + self.hash_of[y])[0]
-            across = (joint >= 0) & (self.rank[joint] < until)
+            where, at = self.probe(self.hash_of[x] * power[self.length_of[y]] + self.hash_of[y])
+            across = np.zeros(len(live), bool)
+            across[where] = self.rank[self.key_ids[at]] < until[where]
             ok[live[across]] = False
             rank_x, rank_y = self.rank[x], self.rank[y]
             on = ~across & ((rank_x >= 0) | (rank_y >= 0))
@@ -184,10 +190,27 @@ class Model:
         return ok
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids (-1: none) and scores (-inf) of substring hashes."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        found = self.keys[at] == hashes
-        return np.where(found, self.key_ids[at], -1), np.where(found, self.key_scores[at], np.float32(-np.inf))
+        """Where the hashes of pieces are in an array of substring hashes (numbers in its
+        flat form), and the numbers of their keys. Most substrings are no piece; a table of
+        a hash's leading bits passes most of these over, and tells where among the sorted
+        keys the search for the others begins: the keys of equal leading bits are few."""
+        flat = hashes.ravel()
+        leading = (flat >> LEADING).astype(np.int64)
+        near = np.flatnonzero(self.leading[leading])
+        own, at = flat[near], self.first[leading[near]]
+        found = self.keys[at] == own
+        for _ in range(self.most - 1):
+            missed = np.flatnonzero(~found)
+            at[missed] = np.minimum(at[missed] + 1, len(self.keys) - 1)
+            found[missed] = self.keys[at[missed]] == own[missed]
+        return near[found], at[found]
+
+    def ids_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece ids of substring hashes, -1 for those of no piece."""
+        ids = np.full(hashes.size, -1, np.int32)
+        where, at = self.probe(hashes)
+        ids[where] = self.key_ids[at]
+        return ids.reshape(hashes.shape)
 
     def spell(self, text: str) -> list[int]:
         """Ids of a symbol that is no piece: its bytes, or unknown."""
@@ -219,8 +242,8 @@ class Model:
             offer(i, right[i])
         return [y for s in symbols if s is not None for y in ([self.by_text[s]] if s in self.by_text else self.spell(s))]
 
-    def viterbi_group(self, words: list[str]) -> list[list[int]]:
-        """Words of one length; of equal scores the longest last piece wins."""
+    def viterbi_group(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length; of equal scores the longest last piece wins."""
         points = word_matrix(words)
         h, n, length = prefix_hashes(points), len(words), points.shape[1]
         power = powers(length)
@@ -230,26 +253,48 @@ class Model:
         r = np.arange(n)
         for end in range(1, length + 1):
             begins = np.arange(max(0, end - self.longest), end)
-            ids, score = self.probe(h[:, end][:, None] - h[:, begins] * power[end - begins])
-            if self.kind == BPE:
-                score = np.where(ids >= 0, np.float32(0), np.float32(-np.inf))
-                score[:, -1] = 0  # a symbol that is no piece stays by itself
-                row, at = np.nonzero((ids >= 0) & (begins > 0))
-                score[row, at] = np.where(self.apart(piece[row, begins[at]], ids[row, at]), 0, -np.inf)
+            where, key = self.probe(h[:, end][:, None] - h[:, begins] * power[end - begins])
+            row, at = np.divmod(where, len(begins))
+            ids = self.key_ids[key]
+            if self.kind == BPE:  # every prefix has one best path, of worth 0
+                worth = np.zeros(len(ids), bool)
+                inner = begins[at] > 0
+                worth[~inner] = True
+                worth[inner] = self.apart(piece[row[inner], begins[at[inner]]], ids[inner])
+                total = np.zeros((n, len(begins)), np.int8)  # 0: not so, or a symbol by itself
+                total[row, at] = worth
+                total[:, -1] |= ~total.any(axis=1)
             else:
-                score[:, -1] = np.where(ids[:, -1] < 0, self.floor, score[:, -1])
-            total = best[:, begins] + score
+                score = np.full((n, len(begins)), -np.inf, np.float32)
+                score[:, -1] = self.floor
+                score[row, at] = self.key_scores[key]
+                total = best[:, begins] + score
+                best[:, end] = total.max(axis=1)
             top = total.argmax(axis=1)
-            best[:, end], back[:, end], piece[:, end] = total[r, top], begins[top], ids[r, top]
-        out = []
-        for w, b, p in zip(words, back.tolist(), piece.tolist(), strict=True):
-            ids, j = [], length
+            back[:, end] = begins[top]
+            mine = at == top[row]
+            piece[row[mine], end] = ids[mine]
+        return self.follow(words, back, piece)
+
+    def follow(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each word along its backpointers, all words at once."""
+        r, at, steps = np.arange(len(words)), np.full(len(words), back.shape[1] - 1), []
+        while at.any():
+            steps.append(np.where(at > 0, piece[r, at], OVER))
+            at = back[r, at]
+        ids = np.stack(steps[::-1], axis=1)
+        there = ids != OVER
+        raw, ends = ids[there].astype("<i4").tobytes(), np.concatenate(([0], 4 * np.cumsum(there.sum(axis=1)))).tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k in np.flatnonzero((ids == -1).any(axis=1)).tolist():  # symbols that are no piece
+            own, j = [], back.shape[1] - 1
             while j:
-                ids.append([p[j]] if p[j] >= 0 else self.spell(w[b[j] : j])[::-1])
-                j = b[j]
-            flat = [y for x in ids for y in x][::-1]
-            # the library joins neighbouring unknown symbols into one for unigram models
-            out.append(flat if self.bytes or self.kind == BPE else [x for k, x in enumerate(flat) if x != self.unknown or not k or flat[k - 1] != x])
+                own.append([int(piece[k, j])] if piece[k, j] >= 0 else self.spell(words[k][back[k, j] : j])[::-1])
+                j = int(back[k, j])
+            flat = [y for x in own for y in x][::-1]
+            if not self.bytes and self.kind == UNIGRAM:  # the library joins neighbouring unknown symbols into one
+                flat = [x for i, x in enumerate(flat) if x != self.unknown or not i or flat[i - 1] != x]
+            out[k] = np.array(flat, "<i4").tobytes()
         return out
 
     # -- texts ---------------------------------------------------------------------
@@ -267,8 +312,7 @@ class Model:
             size = max(1, 2_000_000 // (length * 8))
             for at in range(0, len(own), size):
                 part = own[at : at + size]
-                for w, ids in zip(part, self.viterbi_group(part), strict=True):
-                    self.cache[w] = np.array(ids, np.uint32).tobytes()
+                self.cache.update(zip(part, self.viterbi_group(part), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of whole texts; a null or empty text has none."""
@@ -299,7 +343,7 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
