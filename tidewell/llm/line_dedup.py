@@ -239,19 +239,22 @@ def _outcome(batch: pa.RecordBatch, drops: list[list[int]], texts: bool) -> pa.R
 def _probe_broadcast(batches: Iterator[pa.RecordBatch], index, shards: int, least: int, least_docs: int, texts: bool) -> Iterator[pa.RecordBatch]:
     held = {s: Shard(*x) for s, *x in index.value}
     for batch in batches:
-        drops = []
+        lines, hashes, ids = [], [], []
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
             _, at, h = key_hashes(text.as_py(), least)
-            own = NO_ID if (x := doc_id.as_py()) is None else x
-            drop = np.zeros(len(at), bool)
-            numbers = shard_numbers(h, shards)
-            for s in np.unique(numbers):
-                if s in held:
-                    mine = np.flatnonzero(numbers == s)
-                    count, keeper = held[s].probe(h[mine])
-                    drop[mine] = (count >= least_docs) & (keeper != own)
-            drops.append(at[drop].tolist())
-        yield _outcome(batch, drops, texts)
+            lines.append(at)
+            hashes.append(h)
+            ids.append(NO_ID if (x := doc_id.as_py()) is None else x)
+        if not lines:
+            continue
+        ends = np.cumsum([0, *map(len, lines)])
+        h, own = np.concatenate(hashes), np.repeat(np.array(ids, np.int64), np.diff(ends))
+        drop, numbers = np.zeros(len(h), bool), shard_numbers(h, shards)
+        for s, shard in held.items():  # each shard once a batch
+            mine = np.flatnonzero(numbers == s)
+            count, keeper = shard.probe(h[mine])
+            drop[mine] = (count >= least_docs) & (keeper != own[mine])
+        yield _outcome(batch, [at[drop[a:b]].tolist() for at, a, b in zip(lines, ends, ends[1:], strict=False)], texts)
 
 
 MIXED = "shard int, salt int, kind int, doc_id long, text_hash long, line int, a long, b long, seeds binary, prints binary, counts binary, docs binary"
