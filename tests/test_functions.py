@@ -117,17 +117,12 @@ def test_pages_are_refused_by_their_headers(spark):
     assert [r[0] for r in rows.select(pages.accepted(F.col("e"), F.col("l"))).collect()] == [True, False, False]
 
 
-def test_words_are_counted_in_the_row(spark):
-    from collections import Counter
-
+def test_words_are_counted(spark):
     from tidewell.plans import search
 
     texts = [None, "", "the of a", "word", "zeta alpha zeta <b>beta</b> alpha zeta x1y", "same " * 50]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in search.frequencies(search.bags(docs)).collect():
+    for r in search.frequencies(search.terms(docs)).collect():
         got.setdefault(r.doc_id, {})[r.word] = r.f
-        assert r.f <= r.most
-    occurrences = Counter((r.doc_id, r.word) for r in search.terms(docs).collect())
-    assert {(i, w): n for i, own in got.items() for w, n in own.items()} == occurrences
     assert got == {3: {"word": 1}, 4: {"zeta": 3, "alpha": 2, "beta": 1}, 5: {"same": 50}}

@@ -133,16 +133,16 @@ SQL_NORM = f"{SQL_W}, norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w G
 SAID = "que thethe pour oder que"
 
 
-def _bags(spark, sf, window: bool = False) -> DataFrame:
-    return search.bags(spread(table(spark, sf, "documents")), window)
+def _counts(spark, sf) -> DataFrame:
+    return search.frequencies(search.terms(table(spark, sf, "documents")))
 
 
 def _index(spark, sf) -> search.Index:
-    return search.Index(search.frequencies(_bags(spark, sf)), table(spark, sf, "documents").count())
+    return search.Index(_counts(spark, sf), table(spark, sf, "documents").count())
 
 
 def _idf(spark, sf) -> DataFrame:
-    return search.inverse(search.frequencies(_bags(spark, sf)), table(spark, sf, "documents").count())
+    return search.inverse(_counts(spark, sf), table(spark, sf, "documents").count())
 
 
 @query(f"WITH {SQL_F}, {SQL_IDF} SELECT word, df, round(idf, 6) AS idf FROM idf")
@@ -152,18 +152,19 @@ def idf(spark, sf):
 
 @query(f"WITH {SQL_TF} SELECT doc_id, word, round(tf, 6) AS tf FROM tf")
 def augmented_tf(spark, sf):
-    return search.augmented(search.frequencies(_bags(spark, sf))).select("doc_id", "word", F.round("tf", 6).alias("tf"))
+    return search.augmented(_counts(spark, sf)).select("doc_id", "word", F.round("tf", 6).alias("tf"))
 
 
 @query(f"WITH {SQL_TF} SELECT word, string_agg(doc_id || ' ' || CAST(round(tf, 4) AS DECIMAL(6, 4)), ',' ORDER BY doc_id) AS postings FROM tf GROUP BY word")
 def tf_postings(spark, sf):
-    tf = search.augmented(search.frequencies(_bags(spark, sf)))
+    tf = search.augmented(_counts(spark, sf))
     entries = F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(" ", "doc_id", F.round("tf", 4).cast("decimal(6,4)")).alias("x"))))
     return tf.groupBy("word").agg(F.array_join(F.transform(entries, lambda e: e["x"]), ",").alias("postings"))
 
 
 def _weights(spark, sf) -> DataFrame:
-    return search.weights(search.augmented(search.frequencies(_bags(spark, sf))), _idf(spark, sf))
+    counts = _counts(spark, sf)
+    return search.weights(search.augmented(counts), search.inverse(counts, table(spark, sf, "documents").count()))
 
 
 @query(f"WITH {SQL_W} SELECT doc_id, word, round(w, 6) AS w FROM w")
@@ -211,7 +212,7 @@ def result_lookup(spark, sf):
 
 @query(f"WITH {SQL_F}, vocabulary AS (SELECT word FROM f GROUP BY word HAVING count(*) >= 5) SELECT doc_id, word, f FROM f WHERE word IN (SELECT word FROM vocabulary)")
 def vocabulary_filter(spark, sf):
-    counts = search.frequencies(_bags(spark, sf)).select("doc_id", "word", "f")
+    counts = _counts(spark, sf)
     return T.in_vocabulary(counts, counts.groupBy("word").count().where("count >= 5")).select("doc_id", "word", "f")
 
 
@@ -227,17 +228,15 @@ SQL_STEM_TF = f"{SQL_STEM_F}, tf AS (SELECT doc_id, word, 0.4::DOUBLE + 0.6::DOU
 
 @query(f"WITH words AS (SELECT word, count(*) AS n FROM ({TERMS}) GROUP BY word), stem_words AS (SELECT word FROM words), {SQL_STEMS} SELECT stem, sum(n)::BIGINT AS n FROM words JOIN stems USING (word) GROUP BY stem")
 def stem_counts(spark, sf):
-    counts = search.frequencies(_bags(spark, sf)).groupBy("word").agg(F.sum("f").alias("n"))
+    counts = _counts(spark, sf).groupBy("word").agg(F.sum("f").alias("n"))
     return stemmer.with_stems(counts).groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def _stems(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Counts of the windowed texts' stems that are in the corpus vocabulary, and this."""
-    stems = materialise(search.stemmed_bags(spread(table(spark, sf, "documents"))).select("doc_id", "word", "f"), "stems")
+    stems = materialise(search.stem_frequencies(table(spark, sf, "documents")), "stems")
     vocabulary = materialise(stems.groupBy("word").count().where("count >= 5").select("word"), "vocabulary")
-    kept = T.in_vocabulary(stems, vocabulary)
-    most = kept.groupBy(F.col("doc_id").alias("d")).agg(F.max("f").alias("most"))
-    return kept.join(most, F.col("doc_id") == F.col("d")).select("doc_id", "word", "f", "most"), vocabulary
+    return T.in_vocabulary(stems, vocabulary), vocabulary
 
 
 @query(f"WITH {SQL_STEM_TF} SELECT doc_id, word, round(tf, 6) AS tf FROM tf")

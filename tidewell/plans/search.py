@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
@@ -13,47 +13,29 @@ ALPHA = 0.4
 RESULTS = 21
 
 
-def index_words(text: Column, window: bool = False) -> Column:
-    """The index words of a text, in order: lower-case letters, 3 to 17 of them, no stop
-    word. ``window`` takes the text window only."""
-    text = T.text_window(text) if window else text
-    split = T.split_words(F.lower(T.letters_only(T.strip_tags(text))))
-    return F.filter(split, lambda w: T.is_index_length(w) & ~T.is_stop_word(w))
-
-
-def counted(words: Column) -> Column:
-    """(word, f) of each distinct word of an array, by sorting it."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        ends = lambda own: F.transform(own, lambda p, i: F.struct(F.get(s, p).alias("word"), (F.coalesce(F.get(own, i + 1), F.size(s)) - p).cast("long").alias("f")))
-        return F.transform(F.array(starts), ends)[0]
-
-    none = F.array().cast("array<struct<word:string,f:bigint>>")
-    return F.transform(F.array(F.array_sort(words)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))[0]
-
-
 def terms(docs: DataFrame, window: bool = False) -> DataFrame:
-    """doc_id, word, one row per occurrence of an index word."""
-    return docs.select("doc_id", F.explode(index_words(F.col("text"), window)).alias("word"))
-
+    """doc_id, word, one row per occurrence of an index word: lower-case letters, 3 to 17
+    of them, no stop word. ``window`` takes the text window only.
 
-def bags(docs: DataFrame, window: bool = False) -> DataFrame:
-    """doc_id, words (distinct index words with their counts f), most (the largest count).
-    A document is a row: words are counted inside it, and no text is shuffled."""
-    own = docs.select("doc_id", counted(index_words(F.col("text"), window)).alias("words")).where(F.size("words") > 0)
-    return own.withColumn("most", F.array_max(F.transform("words", lambda x: x["f"])))
+    The texts are dealt out by document once, and counts by (document, word), maxima and
+    norms by document need no shuffle of their own. (Counting inside the row with array
+    functions shuffles no text, but was measured to take three times as long: these
+    functions are interpreted, and a text has as many bytes as its words.)"""
+    docs = docs.select("doc_id", "text").repartition("doc_id")
+    text = T.text_window(F.col("text")) if window else F.col("text")
+    words = docs.select("doc_id", F.explode(T.split_words(F.lower(T.letters_only(T.strip_tags(text))))).alias("word"))
+    return words.where(T.is_index_length(F.col("word")) & ~T.is_stop_word(F.col("word")))
 
 
-def frequencies(own: DataFrame) -> DataFrame:
-    """doc_id, word, f, most from bags."""
-    return own.select("doc_id", F.inline("words"), "most")
+def frequencies(found: DataFrame) -> DataFrame:
+    """doc_id, word, f."""
+    return found.groupBy("doc_id", "word").agg(F.count("*").alias("f"))
 
 
 def augmented(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, word, tf: ``alpha`` plus the rest in proportion to the document's commonest
-    word, whose count is ``most``."""
-    return counts.select("doc_id", "word", (alpha + (1 - alpha) * F.col("f") / F.col("most")).alias("tf"))
+    """doc_id, word, tf: ``alpha`` plus the rest in proportion to the document's commonest word."""
+    most = counts.groupBy(F.col("doc_id").alias("d")).agg(F.max("f").alias("most"))
+    return counts.join(most, F.col("doc_id") == F.col("d")).select("doc_id", "word", (alpha + (1 - alpha) * F.col("f") / F.col("most")).alias("tf"))
 
 
 def inverse(counts: DataFrame, n: int) -> DataFrame:
@@ -87,13 +69,11 @@ def query_weights(said: DataFrame, idf: DataFrame, alpha: float = ALPHA) -> Data
     return F.broadcast(said).join(idf, "word").select("word", "times", ((alpha + (1 - alpha) * F.col("times") / F.col("most")) * F.col("idf")).alias("q"))
 
 
-def stemmed_bags(docs: DataFrame, vocabulary: DataFrame | None = None, window: bool = True) -> DataFrame:
-    """doc_id, word (a stem), f, most: counts of stems, of the text window by default,
-    without stop words and without stems outside a vocabulary (``word``)."""
-    stems = with_stems(frequencies(bags(docs, window)).drop("most")).groupBy("doc_id", F.col("stem").alias("word")).agg(F.sum("f").alias("f")).where(~T.is_stop_word(F.col("word")))
-    stems = stems if vocabulary is None else T.in_vocabulary(stems, vocabulary)
-    most = stems.groupBy(F.col("doc_id").alias("d")).agg(F.max("f").alias("most"))
-    return stems.join(most, F.col("doc_id") == F.col("d")).select("doc_id", "word", "f", "most")
+def stem_frequencies(docs: DataFrame, window: bool = True) -> DataFrame:
+    """doc_id, word (a stem), f: counts of stems, of the text window by default, without
+    stop words."""
+    stems = with_stems(frequencies(terms(docs, window))).groupBy("doc_id", F.col("stem").alias("word")).agg(F.sum("f").alias("f"))
+    return stems.where(~T.is_stop_word(F.col("word")))
 
 
 class Index:
@@ -101,11 +81,10 @@ class Index:
     words, and the norms of the documents that have one."""
 
     def __init__(self, counts: DataFrame, n: int):
-        counts = materialise(counts, "index-counts")
-        self.idf = materialise(inverse(counts, n), "index-idf")
-        w = weights(augmented(counts), self.idf)
+        tf = materialise(augmented(counts), "index-tf")
+        self.idf = materialise(inverse(tf, n), "index-idf")
         # sorted by word within its files, so that a query's words skip row groups
-        self.w = materialise(w.repartitionByRange("word").sortWithinPartitions("word"), "index-weights")
+        self.w = materialise(weights(tf, self.idf).sortWithinPartitions("word"), "index-weights")
         self.norms = materialise(norms(self.w), "index-norms")
 
     def search(self, said: DataFrame, n: int = RESULTS, norm_power: float = 1.0, ranked: DataFrame | None = None) -> DataFrame:
